@@ -37,13 +37,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "text", "removed_spans", "removed_chars")
 
 
+def _is_kind(kind: str) -> Callable[[F.Column], F.Column]:
+    return lambda s: F.when(s["kind"] == kind, 1)
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import KINDS, find_pii
 
     found = find_pii(table(spark, sf_dir, "documents"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["base"])
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [F.size(F.array_compact(F.transform("found", _is_kind(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
 
 

@@ -61,7 +61,7 @@ WITH p AS (
 ), bad AS (
   SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), t AS (
-  SELECT row_number() OVER () AS id, tokens, bad FROM tokened JOIN bad ON page_id = doc_id WHERE len(tokens) > 0 OR bad
+  SELECT row_number() OVER () AS id, tokens, bad FROM tokened JOIN bad ON try_cast(regexp_extract(path, '/([0-9]{1,18})(?:[/.]|$)', 1) AS BIGINT) = doc_id WHERE len(tokens) > 0 OR bad
 ), one AS (SELECT id, bad, unnest(tokens) AS a FROM t),
 sets AS (
   SELECT id, bad, [a] AS rule FROM one
@@ -69,7 +69,7 @@ sets AS (
   UNION ALL SELECT x.id, x.bad, [x.a, y.a, z.a] FROM one x JOIN one y ON x.id = y.id AND x.a < y.a JOIN one z ON x.id = z.id AND y.a < z.a
 ), rules AS (
   SELECT rule, count(*) FILTER (bad) / count(*)::DOUBLE AS confidence FROM sets GROUP BY rule
-  HAVING count(*) FILTER (bad) >= ceil(0.005::DOUBLE * (SELECT count(*) FROM t)) AND count(*) FILTER (bad) / count(*)::DOUBLE >= 0.4::DOUBLE AND count(*) FILTER (bad) > 0
+  HAVING count(*) FILTER (bad) >= 5 AND count(*) FILTER (bad) >= ceil(0.005::DOUBLE * (SELECT count(*) FROM t)) AND count(*) FILTER (bad) / count(*)::DOUBLE >= 0.6::DOUBLE AND count(*) FILTER (bad) > 0
 ), listed(kind, own_host, own_path) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), judged AS (

@@ -29,9 +29,11 @@ from .common import small_slices, texts_or_empty
 MAX_TRAIN = 20_000
 MAX_LEXICON = 50_000
 THRESHOLD = 0.3
-#: An entry's share of toxic documents, taken this many standard errors low, must reach LEAST_SHARE.
-ERRORS = 3.0
+#: An entry's share of toxic documents must reach SURE, and LEAST_SHARE when taken this many standard errors low.
+ERRORS = 2.0
+SURE = 0.95
 LEAST_SHARE = 0.5
+LEAST_NEW = 2
 PREFIXES = (4, 5, 6)
 _CLASSES = 28  # 0 boundary, 1-26 a-z, 27 any other letter
 
@@ -233,7 +235,6 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str =
         for part in small_slices(batches):
             for toxic, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 n[bool(toxic)].update(words)
-                n[bool(toxic)][""] += 1  # all documents
             if len(n[0]) + len(n[1]) > 300_000:
                 yield told(n)
                 n = (Counter(), Counter())
@@ -243,21 +244,42 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str =
     n = F.col("n0") + F.col("n1")
     share, z2 = F.col("n1") / n, ERRORS**2
     low = (share + z2 / (2 * n) - ERRORS * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    # an entry must be toxic beyond doubt, save the row of all documents
-    entries = counts.where((low >= LEAST_SHARE) | (F.col("word") == "")).orderBy(F.when(F.col("word") == "", 2.0).otherwise(low).desc(), "word").limit(MAX_LEXICON).collect()
-    lexicon = {r.word: (r.n1 + 0.1) / (r.n0 + r.n1 + 0.2) for r in entries if r.word}
+    entries = counts.where((low >= LEAST_SHARE) & (share >= SURE) & (F.col("word") != "")).orderBy(low.desc(), "word").limit(MAX_LEXICON).collect()
+    place = {r.word: i for i, r in enumerate(entries)}
 
-    def without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in small_slices(batches):
-            n = [0, 0]
-            for toxic, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                if not any(w in lexicon for w in words):
-                    n[bool(toxic)] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([n[0]], pa.int64()), pa.array([n[1]], pa.int64())], names=["n0", "n1"])
+            own = [sorted(place[w] for w in words if w in place) for words in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "entries"])
+
+    # at most a row for each training document
+    seen = single.select("toxic", "words").mapInArrow(placed, "toxic int, entries array<int>").groupBy("toxic", "entries").agg(F.count("*").alias("n")).collect()
+    chosen_entries = explaining([(r.entries, r.n) for r in seen if r.toxic], len(entries))
+    lexicon = {r.word: (r.n1 + 0.1) / (r.n0 + r.n1 + 0.2) for i, r in enumerate(entries) if i in chosen_entries}
+    plain = [0, 0]
+    for r in seen:
+        if not chosen_entries.intersection(r.entries):
+            plain[bool(r.toxic)] += r.n
+    return lexicon, (plain[1] + 0.1) / (sum(plain) + 1)
+
 
-    r = single.select("toxic", "words").mapInArrow(without, "n0 long, n1 long").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
-    clean, toxic = r.n0 or 0, r.n1 or 0
-    return lexicon, (toxic + 0.1) / (clean + toxic + 1)
+def explaining(toxic: list[tuple[list[int], int]], entries: int) -> set[int]:
+    """The entries that toxic documents need, best first: each must mark ``LEAST_NEW`` that no better one marks.
+
+    Edited copies of one toxic document share all its rare words; those words are
+    no evidence of their own once a better entry marks the documents.
+    """
+    having: list[list[int]] = [[] for _ in range(entries)]
+    for doc, (own, _) in enumerate(toxic):
+        for e in own:
+            having[e].append(doc)
+    marked, out = set(), set()
+    for e, docs in enumerate(having):
+        new = [d for d in docs if d not in marked]
+        if sum(toxic[d][1] for d in new) >= LEAST_NEW:
+            out.add(e)
+            marked.update(new)
+    return out
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:

@@ -26,7 +26,9 @@ LISTED = (
 )
 BAD = "label=bad"
 MIN_SUPPORT = 0.005
-MIN_CONFIDENCE = 0.4
+#: Bad urls that a combination needs at least, however few have labels.
+MIN_COUNT = 5
+MIN_CONFIDENCE = 0.6
 MAX_TOKENS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -64,6 +66,11 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(every)))
 
 
+def document_of(path: Column) -> Column:
+    """The document that a url names: its first path segment that starts with a number; null without one."""
+    return F.regexp_extract(path, r"/([0-9]{1,18})(?:[/.]|$)", 1).try_cast("bigint")
+
+
 def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> tuple[Column, Column]:
     """(rule, verdict) of the longest listed rule that fits; both null if none does."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -76,7 +83,8 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> tuple[Colu
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """``(antecedent ARRAY<STRING>, confidence)`` from ``(tokens, bad BOOLEAN)``, mined over all labelled urls."""
     items = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")).where(F.size("items") > 0)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
+    n = items.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / max(n, 1))), minConfidence=min_confidence).fit(items)
     return model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.size("antecedent") <= max_tokens)).select("antecedent", "confidence")
 
 
@@ -94,16 +102,16 @@ def judge_urls(pages: DataFrame, labels: DataFrame, id_column: str = "page_id",
 
     A listed rule decides where one fits, the longest first; else a mined rule
     blocks, and its confidence is told; else the url is allowed. Labels are those
-    of the row whose key is the page's id: bad are rows of low quality or marked
+    of the document that the url names: bad are rows of low quality or marked
     toxic (of several labels of one key any counts). Null urls have empty host
-    and path and no tokens; null ids are judged but never labelled; repeated rows
+    and path, no tokens and no label; null ids are judged like any; repeated rows
     come out repeated; without labels nothing is mined. Other columns are ignored.
     """
     own = pages.select(F.col(id_column).alias("__id"), F.col(url_column).cast("string").alias("__url"))
     own = own.withColumn("host", host_of(F.col("__url"))).withColumn("path", path_of(F.col("__url")))
     own = own.withColumn("tokens", F.coalesce(tokens_of(F.col("__url"), F.col("host"), F.col("path")), F.array().cast("array<string>")))
     bad = labels.where(F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("__key")).agg(F.max(F.coalesce((F.col("quality") == 0), F.lit(False)) | F.coalesce((F.col("toxic") == 1), F.lit(False))).alias("bad"))
-    mined = mine_rules(own.join(bad, own["__id"] == bad["__key"]).select("tokens", "bad"), min_support, min_confidence)
+    mined = mine_rules(own.join(bad, document_of(F.col("path")) == bad["__key"]).select("tokens", "bad"), min_support, min_confidence)
     matched = match_rules(own.select("tokens").distinct(), mined)
     rule, listed = listed_rule(F.col("host"), F.col("path"), rules)
     judged = own.join(matched, "tokens", "left")
