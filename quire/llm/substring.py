@@ -93,6 +93,9 @@ def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS) -> DataFrame
             pos = np.concatenate([p[3] for p in parts]).astype("i4")
             order = np.lexsort((pos, key, rank, h2, h1))
             h1, h2, rank, key, pos = h1[order], h2[order], rank[order], key[order], pos[order]
+            fresh = np.ones(len(h1), bool)  # a repeated row is the same occurrence
+            fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (rank[1:] != rank[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
+            h1, h2, rank, key, pos = h1[fresh], h2[fresh], rank[fresh], key[fresh], pos[fresh]
             again = np.zeros(len(h1), bool)
             again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, rank, key, pos, again)], names=["h1", "h2", "rank", "key", "pos", "again"])
@@ -115,7 +118,7 @@ def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS) -> DataFrame
     own = F.xxhash64("rank", "key", "pos")
     dealt = units.select(F.when(F.col("again"), own).otherwise(F.col("h1")).alias("h1"), F.when(F.col("again"), F.lit(None).cast("int")).otherwise(F.col("h2")).alias("h2"), "rank", "key", "pos", "again")
     first = Window.partitionBy("h1", "h2").orderBy("rank", "key", "pos")
-    return dealt.withColumn("__n", F.row_number().over(first)).where("again or __n > 1").select("rank", "key", "pos")
+    return dealt.withColumn("__n", F.dense_rank().over(first)).where("again or __n > 1").select("rank", "key", "pos")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
