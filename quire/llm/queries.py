@@ -46,8 +46,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = find_pii(table(spark, sf_dir, "documents"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    base = F.filter("found", lambda s: s["base"])
-    counts = [F.size(F.array_compact(F.transform("found", _is_kind(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
+    base = F.filter("found", lambda s: s["base"])  # what the counts and the digest cover
+    counts = [F.size(F.array_compact(F.transform(base, _is_kind(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
 
 

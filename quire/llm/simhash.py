@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLOCK, forest, gridded, whole_runs
@@ -146,12 +146,12 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int =
     text hash stays.
     """
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("__row"), F.col(text_column).alias("__text"), F.struct(F.col(id_column).isNull().alias("n"), F.col(id_column).alias("i"), F.xxhash64(text_column).alias("t")).alias("__rank"))
+    rows = docs.select(F.struct(*names).alias("__row"), F.col(text_column).alias("__text"), F.struct(F.col(id_column).isNull().alias("n"), F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("i"), F.xxhash64(text_column).alias("t")).alias("__rank"))
     fps = checkpointed(fingerprints(rows.select("__text", "__rank"), shingle, seed, "__text", ["__rank"]).select(F.col("__rank").alias("rank"), F.col("__fp").alias("fp")))
     nodes = fps.groupBy("fp").agg(F.min("rank").alias("least"))
     of = connected_components(hamming_links(nodes.select("fp"), radius, segments))
     kept = nodes.join(of, nodes.fp == of.node, "left").select("least", F.coalesce("component", "fp").alias("c")).groupBy("c").agg(F.min("least").alias("least"))
-    # a kept rank may stand for repeated rows, of which one stays
-    chosen = rows.join(kept.select("least").distinct(), rows["__rank"].eqNullSafe(F.col("least"))).select("__row", "__rank")
-    once = chosen.groupBy("__rank").agg(F.any_value("__row").alias("__row"))
+    # a kept rank may stand for repeated rows, of which one stays; the window takes the join's own order
+    chosen = rows.join(kept.select(F.col("least").alias("__rank")), "__rank").select("__row", "__rank")
+    once = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__rank").orderBy("__rank"))).where("__n = 1")
     return once.select(*(F.col(f"__row.`{c}`").alias(c) for c in names))
