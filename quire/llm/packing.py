@@ -12,7 +12,9 @@ closed first. A task holds its open bins only, whatever the number of rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +30,8 @@ OPEN_BINS = 1024
 #: Pieces that one packing task gets; its last open bins are the only loss.
 PIECES_PER_TASK = 50_000
 END_ID = 1
+#: A chunk of Latin letters, digits and marks up to a letter or digit, then closing marks.
+_PLAIN = re.compile(r"([\x21-\x7e\u00a1-\u024f]*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([.,;:!?]*)")
 
 
 class BestFit:
@@ -79,7 +83,7 @@ class WordTokenizer:
     table of known chunks is bounded by ``memo``.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -87,6 +91,22 @@ class WordTokenizer:
         self.memo: dict[str, bytes] = {"": b""}
         self.memo_size = memo
 
+    def _encode(self, unknown: list[str]) -> None:
+        """Put chunks into the table: plain ones as lower-case word and closing marks, which are tokens of their own."""
+        memo, parts, fresh = self.memo, {}, set()
+        for chunk in unknown:
+            plain = _PLAIN.fullmatch(chunk)
+            own = (plain[1].lower(), plain[2]) if plain and "<|" not in chunk and "\u0130" not in chunk else (chunk,)
+            parts[chunk] = own
+            fresh.update(x for x in own if x not in memo)
+        fresh = list(fresh)
+        for at in range(0, len(fresh), 4096):
+            some = fresh[at : at + 4096]
+            for part, x in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                memo[part] = array("I", x.ids).tobytes()
+        for chunk, own in parts.items():
+            memo[chunk] = memo[own[0]] if len(own) == 1 or not own[1] else memo[own[0]] + memo[own[1]]
+
     def packed(self, texts: list[str]) -> list[bytes]:
         chunks = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         memo = self.memo
@@ -94,10 +114,8 @@ class WordTokenizer:
             memo.clear()
             memo[""] = b""
         unknown = list({c for own in chunks for c in own if c not in memo})
-        for at in range(0, len(unknown), 4096):
-            some = unknown[at : at + 4096]
-            for chunk, x in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                memo[chunk] = np.array(x.ids, dtype="<u4").tobytes()
+        if unknown:
+            self._encode(unknown)
         return [b"".join(map(memo.__getitem__, own)) for own in chunks]
 
 
