@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, small_slices, texts_or_empty
 
 CAPACITY = 4096
-OPEN_BINS = 1024
+#: More than one task's pieces can open, so that none closes early; still a fixed number.
+OPEN_BINS = 16_384
 #: Pieces that one packing task gets; its last open bins are the only loss.
 PIECES_PER_TASK = 50_000
 END_ID = 1
@@ -163,8 +164,9 @@ def document_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tasks: int = 1, length_column: str = "length", order: list[str] | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows that have a length.
 
-    Rows are dealt by a hash of ``order`` and packed in hash order, so a task
-    that runs again makes the same sequences.
+    Rows are dealt by a hash of ``order``; each task packs the longest first, ties
+    in hash order, so a task that runs again makes the same sequences. Short
+    pieces come last and fill what the long ones left.
     """
     order = order or pieces.columns
     names = pieces.columns
@@ -178,7 +180,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OP
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     dealt = pieces.withColumn("__order", F.xxhash64(*order)).repartition(tasks, "__order").withColumn("__task", F.spark_partition_id().cast("long"))
-    return dealt.sortWithinPartitions("__order", *order).mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return dealt.sortWithinPartitions(F.desc(length_column), "__order", *order).mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
