@@ -98,13 +98,15 @@ def cell_links(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataF
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("__all"), F.count(F.when(F.col("home"), 1)).alias("__own")).where("__all > 1")
     sized = placed.join(sizes, keys).withColumn("__r", block_count(F.col("__own"), block)).withColumn("__c", block_count(F.col("__all"), block))
     h = F.xxhash64("node")
-    # as a row: one row block and every column block; as a column: the other way round
-    sides = sized.withColumn("__side", F.explode(F.when(F.col("home"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    row = F.col("__side") == 0
+    # as a row: one row block and every column block; as a column: the other way round; where both meet, once
+    sides = sized.withColumn("__ri", F.pmod(h, F.col("__r")).cast("int")).withColumn("__ci", F.pmod(h, F.col("__c")).cast("int"))
+    sides = sides.withColumn("__row", F.explode(F.when(F.col("home"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))))
     cells = (
-        sides.withColumn("__o", F.explode(F.sequence(F.lit(0), F.when(row, F.col("__c")).otherwise(F.col("__r")) - 1)))
-        .withColumn("__i", F.when(row, F.pmod(h, F.col("__r")).cast("int")).otherwise(F.col("__o")))
-        .withColumn("__j", F.when(row, F.col("__o")).otherwise(F.pmod(h, F.col("__c")).cast("int")))
+        sides.withColumn("__o", F.explode(F.sequence(F.lit(0), F.when(F.col("__row"), F.col("__c")).otherwise(F.col("__r")) - 1)))
+        .where(F.col("__row") | ~F.col("home") | (F.col("__o") != F.col("__ri")))
+        .withColumn("__side", F.when(~F.col("__row"), 1).when(F.col("__o") == F.col("__ci"), 2).otherwise(0))
+        .withColumn("__i", F.when(F.col("__row"), F.col("__ri")).otherwise(F.col("__o")))
+        .withColumn("__j", F.when(F.col("__row"), F.col("__o")).otherwise(F.col("__ci")))
         .select(*keys, "__i", "__j", "__side", "node", "n", "vec")
     )
 
@@ -116,7 +118,7 @@ def cell_links(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataF
                     continue
                 x = _matrix(rows.column(8).slice(at, to - at), int(dims[at]))
                 names = np.array(rows.column(6).slice(at, to - at).to_pylist())
-                left, right = np.flatnonzero(side[at:to] == 0), np.flatnonzero(side[at:to] == 1)
+                left, right = np.flatnonzero(side[at:to] != 1), np.flatnonzero(side[at:to] != 0)
                 known, index = np.unique(names, return_inverse=True)
                 count, a, c = np.zeros(len(known), "i8"), [], []
                 for k in range(0, len(left), 256):
