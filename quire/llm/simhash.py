@@ -139,19 +139,28 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGME
     return fps.join(named, "fp").select(F.col("__id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def ranked_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """``__row``, ``__text`` and ``__rank`` of each row; nulls rank last among ids, rows of one id by text hash."""
+    return docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_column).alias("__text"), F.struct(F.col(id_column).isNull().alias("n"), F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("i"), F.xxhash64(text_column).alias("t")).alias("__rank"))
+
+
+def first_rows(rows: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of one row for each rank in ``kept(least)``."""
+    # a kept rank may stand for repeated rows, of which one stays; the window takes the join's own order
+    chosen = rows.join(kept.select(F.col("least").alias("__rank")), "__rank").select("__row", "__rank")
+    once = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__rank").orderBy("__rank"))).where("__n = 1")
+    return once.select(*(F.col(f"__row.`{c}`").alias(c) for c in names))
+
+
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, shingle: int = SHINGLE, seed: int = SEED, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all columns: the one of the smallest id.
 
     Nulls rank last among ids; of repeated rows of one id the one of the smallest
     text hash stays.
     """
-    names = docs.columns
-    rows = docs.select(F.struct(*names).alias("__row"), F.col(text_column).alias("__text"), F.struct(F.col(id_column).isNull().alias("n"), F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("i"), F.xxhash64(text_column).alias("t")).alias("__rank"))
+    rows = ranked_rows(docs, id_column, text_column)
     fps = checkpointed(fingerprints(rows.select("__text", "__rank"), shingle, seed, "__text", ["__rank"]).select(F.col("__rank").alias("rank"), F.col("__fp").alias("fp")))
     nodes = fps.groupBy("fp").agg(F.min("rank").alias("least"))
     of = connected_components(hamming_links(nodes.select("fp"), radius, segments))
     kept = nodes.join(of, nodes.fp == of.node, "left").select("least", F.coalesce("component", "fp").alias("c")).groupBy("c").agg(F.min("least").alias("least"))
-    # a kept rank may stand for repeated rows, of which one stays; the window takes the join's own order
-    chosen = rows.join(kept.select(F.col("least").alias("__rank")), "__rank").select("__row", "__rank")
-    once = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__rank").orderBy("__rank"))).where("__n = 1")
-    return once.select(*(F.col(f"__row.`{c}`").alias(c) for c in names))
+    return first_rows(rows, kept, docs.columns)

@@ -8,8 +8,10 @@ import xxhash
 from cases import awkward, clashing, listed
 from pyspark.sql import functions as F
 
+from corpus_pipeline import STAGES
 from quire.llm.components import connected_components
 from quire.llm.embedding import near_duplicate_vectors
+from quire.llm.jaccard import drop_similar
 from quire.llm.simhash import drop_near_duplicates, fingerprint, hamming_links, near_duplicates
 from quire.llm.substring import cut_repeats, remove_repeats, unit_words
 from quire.llm.topk import search_bucket, top_k
@@ -101,6 +103,42 @@ def test_near_duplicates(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(least.get(c)) for c in set(of.values()))
 
 
+def edited_texts():
+    """Copies with changed words, of many similarities; one large group of near copies."""
+    rng = random.Random(31)
+    word = lambda: rng.choice("abcdefghij") + str(rng.randint(0, 999))
+    rows = []
+    for group in range(40):
+        base = [word() for _ in range(rng.choice([4, 5, 30, 120, 400]))]
+        for _ in range(60 if group == 3 else 5):
+            own = list(base)
+            for at in rng.sample(range(len(own)), min(len(own), rng.randint(0, 1 + len(own) // 40))):
+                own[at] = word()
+            rows.append((len(rows) + 1000, " ".join(own), "en", "s", 1))
+    return rows
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_near_dedup_stage_finds_edited_copies(spark, block):
+    frame = awkward(spark, edited_texts())
+    sets = {}
+    for r in frame.collect():
+        words = (r.text or "").lower().split()
+        key = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+        sets[key] = min(sets.get(key, 10**9), 10**9 if r.doc_id is None else r.doc_id)
+    nodes = list(sets)
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    of = union_find(range(len(nodes)), [(i, j) for i in range(len(nodes)) for j in range(i) if near(nodes[i], nodes[j])])
+    least = {}
+    for k, root in of.items():
+        least[root] = min(least.get(root, 10**9), sets[nodes[k]])
+    assert len(least) < len(nodes) - 60
+    kept = drop_similar(frame, block=block) if block != 1024 else dict(STAGES)["near-dedup"](spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted(10**9 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert drop_similar(frame.limit(0)).count() == 0
+
+
 def slow_repeats(rows, min_words):
     seen, out = set(), {}
     for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
