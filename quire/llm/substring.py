@@ -1,11 +1,17 @@
-"""Exact substring dedup by hashing lines and sentences.
+"""Exact substring dedup by hashing lines, sentences and windows of words.
 
 A text is cut into units at line ends and, inside lines, after sentence ends. A
 unit is normalised (lower case, single spaces) and hashed to 96 bits. Of equal
 units the occurrence of the lowest rank (id, text hash, position) stays. Later
-occurrences are repeats; a run of adjacent repeats that has at least
+occurrences are repeats; a run of adjacent repeated words that has at least
 ``min_words`` words goes, with its offsets in the original text retained.
 
+Passages that start or end inside sentences are found by windows of
+``min_words`` words, grouped with the units. Winnowing picks them by their
+content: of each ``PICK`` windows in a row the one of the lowest hash. So equal
+passages of ``min_words + PICK - 1`` words have an equal window, and at most
+``PICK - 1`` words at each end lie outside the windows picked.
+
 Inside a task only the first occurrence of each digest in a bounded chunk of
 units enters the global grouping; the others are known repeats already. So a
 digest that a third of all rows share meets the shuffle once per chunk.
@@ -25,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, small_slices
 
 MIN_WORDS = 12
+PICK = 8
 CHUNK_UNITS = 200_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _CUT = re.compile(r"\n|(?<=[.!?])\s")
 
 
@@ -51,24 +59,56 @@ def unit_words(text: str) -> tuple[list[int], list[str], list[int]]:
     return ends, forms, counts
 
 
-def cut_repeats(text: str, repeats: list[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]]]:
-    """The text without its runs of repeated units, and the spans of those runs in the original."""
-    ends, forms, counts = unit_words(text)
-    marked, spans, at = set(repeats), [], 0
-    n = len(ends)
-    while at < n:
-        if at not in marked:
-            at += 1
-            continue
-        to, words = at, 0
-        while to < n and (to in marked or not counts[to]):
-            words += counts[to]
-            to += 1
-        while to > at and not counts[to - 1]:  # a run ends with a repeat
-            to -= 1
-        if words >= min_words:
-            spans.append((ends[at - 1] if at else 0, ends[to - 1]))
-        at = max(to, at + 1)
+def windows(text: str, size: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
+    """First words and digests of the windows of ``size`` words that winnowing picks."""
+    words = text.lower().split()
+    n = len(words) - size + 1
+    if n < 1:
+        return [], []
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "<u8", len(words))
+    h = np.zeros(n, "u8")
+    for k in range(size):
+        h = h * _MIX + own[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * _MIX
+    width = min(PICK, n)
+    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, width).argmin(1) + np.arange(n - width + 1)).tolist()
+    raw = own.tobytes()
+    return at, [xxhash.xxh3_128_digest(raw[8 * i : 8 * (i + size)], 1) for i in at]
+
+
+def cut_repeats(text: str, repeats: Iterable[int], min_words: int = MIN_WORDS, starts: Iterable[int] = ()) -> tuple[str, list[tuple[int, int]]]:
+    """The text without long runs of repeated words, and the spans removed.
+
+    ``repeats`` are units, ``starts`` the first words of windows. Beside a run of
+    whole units, windows count from ``min_words`` more words on: a shorter piece of
+    the next sentence stays. Where a window overlaps its own first occurrence, the
+    latter stays whole.
+    """
+    ends, _, counts = unit_words(text)
+    spots = [m.span() for m in re.finditer(r"\S+", text)]
+    whole, gone = np.zeros((2, len(spots)), bool)
+    first = np.concatenate([[0], np.cumsum(counts)]).tolist()  # words before each unit
+    heads, tails = {}, {}  # of repeated units: where they start and end, by first and last word
+    for k in set(repeats):
+        if counts[k]:
+            whole[first[k] : first[k + 1]] = True
+            heads[first[k]], tails[first[k + 1]] = ends[k - 1] if k else 0, ends[k]
+
+    def runs(x: np.ndarray) -> list[tuple[int, int]]:
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], x.view("i1"), [0]]))).tolist()
+        return [(i, j) for i, j in zip(edges[::2], edges[1::2]) if j - i >= min_words]
+
+    marked = set(starts)
+    words = text.lower().split() if marked else []
+    for p in marked:
+        a = next((q + min_words for q in range(max(0, p - min_words + 1), p) if q not in marked and words[q] == words[p] and words[q : q + min_words] == words[p : p + min_words]), p)
+        gone[a : p + min_words] = True
+    long = np.zeros(len(spots), bool)
+    for i, j in runs(whole):
+        long[i:j] = True
+    for i, j in runs((gone | whole) & ~long):
+        long[i:j] = True
+    spans = [(heads.get(i, spots[i][0]), tails.get(j, min(len(text), spots[j - 1][1] + 1))) for i, j in runs(long)]
     kept, last = [], 0
     for a, b in spans:
         kept.append(text[last:a])
@@ -77,8 +117,11 @@ def cut_repeats(text: str, repeats: list[int], min_words: int = MIN_WORDS) -> tu
     return "".join(kept), spans
 
 
-def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS) -> DataFrame:
-    """``(rank, key, pos)`` of every unit that has an earlier equal one; input columns ``rank, key, text``."""
+def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS, size: int = MIN_WORDS) -> DataFrame:
+    """``(rank, key, pos)`` of every unit or window that has an earlier equal one; input columns ``rank, key, text``.
+
+    Windows are numbered by their first word, after the units of their text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -105,7 +148,10 @@ def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS) -> DataFrame
                 _, forms, counts = unit_words(text)
                 pos = [i for i, n in enumerate(counts) if n]
                 if pos:
-                    parts.append((b"".join(xxhash.xxh3_128_digest(forms[i]) for i in pos), rank, key, np.array(pos, "i4")))
+                    at, digests = windows(text, size)
+                    digests = [xxhash.xxh3_128_digest(forms[i]) for i in pos] + digests
+                    pos += [len(forms) + i for i in at]
+                    parts.append((b"".join(digests), rank, key, np.array(pos, "i4")))
                     held += len(pos)
                 if held >= chunk_units:
                     yield chunk()
@@ -132,7 +178,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
     """
     names = [c for c in docs.columns if c not in ("removed_spans", "removed_chars")]
     row = docs.select(F.struct(*names).alias("__row"), F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("rank"), F.xxhash64(F.col(text_column)).alias("key"), F.col(text_column).cast("string").alias("text"))
-    cut = repeated_units(row).groupBy("rank", "key").agg(F.collect_set("pos").alias("__pos"))
+    cut = repeated_units(row, size=min_words).groupBy("rank", "key").agg(F.collect_set("pos").alias("__pos"))
     joined = row.join(cut, ["rank", "key"], "left").select(*(F.col(f"__row.`{c}`").alias(c) for c in names), F.col("__pos"))
     at = names.index(text_column)
 
@@ -142,7 +188,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
             for text, pos in zip(part.column(at).to_pylist(), part.column(len(names)).to_pylist()):
                 gone: list[tuple[int, int]] = []
                 if text is not None and pos:
-                    text, gone = cut_repeats(text, pos, min_words)
+                    units = len(unit_bounds(text))
+                    text, gone = cut_repeats(text, [k for k in pos if k < units], min_words, [k - units for k in pos if k >= units])
                 texts.append(text)
                 spans.append(",".join(f"{a}:{b}" for a, b in gone))
                 chars.append(sum(b - a for a, b in gone))

@@ -179,6 +179,27 @@ def test_substring_dedup(spark):
     assert remove_repeats(awkward(spark)).count() == awkward(spark).count()
 
 
+def test_substring_dedup_inside_sentences(spark):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    passages = [words(n) for n in (19, 50, 66)] + [f"{words(20)}. {words(3)}. {words(5)}! {words(24)}"]
+    rows = [(10 * i + k, f"{words(9)}. {words(7)} {p} {words(6)}. {words(8)}.") for i, p in enumerate(passages) for k in range(3)]
+    rows += [(900, f"{words(30)} " + "same " * 60 + words(30)), (901, "same " * 40 + words(20)), (902, words(80))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in remove_repeats(frame).collect()}
+    for i, p in enumerate(passages):
+        assert out[10 * i].removed_chars == 0
+        for k in (1, 2):
+            r, text = out[10 * i + k], dict(rows)[10 * i + k]
+            (a, b), = [tuple(map(int, s.split(":"))) for s in r.removed_spans.split(",")]
+            assert r.text == text[:a] + text[b:] and text[a:b].strip() in p
+            before, after = (len(x.split()) for x in p.split(text[a:b].strip()))
+            assert before < 8 and after < 8
+    assert out[900].text.split().count("same") >= 12 and len(out[900].text.split()) <= 60 + 12 + 14
+    assert out[901].text.split().count("same") <= 14 and out[901].text.split()[-20:] == rows[-2][1].split()[-20:]
+    assert out[902].removed_chars == 0
+
+
 VECTORS = "vec_id long, embedding array<float>, label int"
 
 
