@@ -6,14 +6,28 @@ quotient rounds to the same float as a float division.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 INF = float("inf")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where plain nesting would repeat its expression."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def computed(rows: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Rows with columns that later expressions refer to: a generator, through which nothing is inlined.
+
+    Deep expressions else repeat the lower ones and outgrow what the JVM compiles.
+    """
+    return rows.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def f32(value: float | Column) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("float")
 
@@ -66,19 +80,41 @@ class Overlap(NamedTuple):
     @property
     def score(self) -> Column:
         """The stronger of IoU and coverage of the smaller box."""
-        return F.greatest(self.iou, _share(self.intersection, self.min_area))
+        return F.greatest(self.iou, self.cover)
+
+    @property
+    def cover(self) -> Column:
+        return _share(self.intersection, self.min_area)
+
+    def score_above(self, bound: Column) -> Column:
+        """Whether the score is above ``bound``, without both quotients where one tells."""
+        return (self.cover > bound) | (self.iou > bound)
 
 
 def _share(part: Column, whole: Column) -> Column:
     return F.when(whole <= 0, f32(0.0)).otherwise((part / whole).cast("float"))
 
 
-def _common(low_a: Column, low_b: Column, high_a: Column, high_b: Column) -> Column:
+def common(low_a: Column, low_b: Column, high_a: Column, high_b: Column) -> Column:
     d = F.least(high_a, high_b) - F.greatest(low_a, low_b)
     return F.when(d == INF, f32(0.0)).otherwise(F.greatest(d, f32(0.0)))  # infinite only if both are NaN
 
 
-def overlap(a: Column, b: Column) -> Overlap:
-    """Overlap of two structs that have the fields of :func:`edges`."""
-    shared = _common(a["l"], b["l"], a["r"], b["r"]) * _common(a["t"], b["t"], a["b"], b["b"])
-    return Overlap(shared, F.least(a["area"], b["area"]), a["area"] + b["area"] - shared)
+def touches(a: Column | dict, b: Column | dict) -> Column:
+    """Whether two boxes may share area: cheap, and false only if the intersection is zero."""
+    return (a["l"] < b["r"]) & (b["l"] < a["r"]) & (a["t"] < b["b"]) & (b["t"] < a["b"])
+
+
+def shared_sides(a: Column | dict, b: Column | dict) -> tuple[Column, Column]:
+    """Width and height of what two boxes share."""
+    return common(a["l"], b["l"], a["r"], b["r"]), common(a["t"], b["t"], a["b"], b["b"])
+
+
+def overlap(a: Column | dict, b: Column | dict) -> Overlap:
+    """Overlap of two boxes given by the fields of :func:`edges`, as structs or dicts of columns."""
+    w, h = shared_sides(a, b)
+    return overlap_of(w, h, a["area"], b["area"])
+
+
+def overlap_of(w: Column, h: Column, area_a: Column, area_b: Column) -> Overlap:
+    return Overlap(w * h, F.least(area_a, area_b), area_a + area_b - w * h)

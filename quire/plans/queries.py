@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import present
 from ..functions.decode import class_id, counts_verdict, order_of, page_verdict
-from ..functions.geometry import clamped_box, overlap
+from ..functions.geometry import clamped_box
 from ..functions.labels import color_of, label_of, parse_label
 from ..operators import blocks as B
 from ..operators.detector import FakeDetector, detect
@@ -66,21 +66,21 @@ def box_clamp(spark, sf_dir):
     return detections(spark, sf_dir).select("page_id", "row_index", *(c.alias(n) for n, c in box._asdict().items()))
 
 
-def _overlaps(spark: SparkSession, sf_dir: str, **columns: Callable) -> DataFrame:
-    o = overlap(F.col("a"), F.col("b"))
-    return B.pairs(_decoded(spark, sf_dir)).select("page_id", "left_row", "right_row", *(f(o).alias(n) for n, f in columns.items()))
+def _overlaps(spark: SparkSession, sf_dir: str, touching: bool, **columns: Callable) -> DataFrame:
+    o = B.pair_overlap()
+    return B.pairs(_decoded(spark, sf_dir), touching).select("page_id", "left_row", "right_row", *(f(o).alias(n) for n, f in columns.items()))
 
 
 def overlap_metrics(spark, sf_dir):
-    return _overlaps(spark, sf_dir, intersection=lambda o: o.intersection, min_area=lambda o: o.min_area, union_area=lambda o: o.union)
+    return _overlaps(spark, sf_dir, False, intersection=lambda o: o.intersection, min_area=lambda o: o.min_area, union_area=lambda o: o.union)
 
 
 def iou_pairs(spark, sf_dir):
-    return _overlaps(spark, sf_dir, iou=lambda o: o.iou).where("iou > 0")
+    return _overlaps(spark, sf_dir, True, iou=lambda o: o.iou).where("iou > 0")
 
 
 def overlap_pairs(spark, sf_dir):
-    return _overlaps(spark, sf_dir, overlap=lambda o: o.score).where(F.col("overlap") > F.lit(NMS_IOU).cast("float"))
+    return _overlaps(spark, sf_dir, True, overlap=lambda o: o.score).where(F.col("overlap") > F.lit(NMS_IOU).cast("float"))
 
 
 def relabel_reference(spark, sf_dir):
