@@ -2,11 +2,12 @@
 
 Two passes. The first turns every document into pieces of at most ``capacity``
 tokens, without a shuffle, and keeps a small row for each piece. The second
-deals those rows over packing tasks and packs each task's stream online: a
-fixed number of open bins hang in stacks by their free space, and a bitset
-marks the non-empty stacks, so the best fit is the lowest set bit at or above a
-piece's length. When a new bin would be one too many, the fullest open bin is
-closed first. A task holds its open bins only, whatever the number of rows.
+deals those rows over packing tasks and packs each task's stream online, each
+piece as it arrives and with no view of later ones: a fixed number of open bins
+hang in stacks by their free space, and a bitset marks the non-empty stacks, so
+the best fit is the lowest set bit at or above a piece's length. When a new bin
+would be one too many, the fullest open bin is closed first. A task holds its
+open bins only, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import checkpointed, small_slices, texts_or_empty
 
 CAPACITY = 4096
-#: More than one task's pieces can open, so that none closes early; still a fixed number.
-OPEN_BINS = 16_384
-#: Pieces that one packing task gets; its last open bins are the only loss.
+#: Bins that one packing task holds open; the next one closes the fullest.
+OPEN_BINS = 256
+#: Pieces that one packing task gets.
 PIECES_PER_TASK = 50_000
 END_ID = 1
 #: A chunk of Latin letters, digits and marks up to a letter or digit, then closing marks.
@@ -46,6 +47,7 @@ class BestFit:
         self.bits = 0
         self.count = 0
         self.made = 0
+        self.closed = 0  # before they were full
 
     def _take(self, free: int) -> int:
         stack = self.stacks[free]
@@ -65,6 +67,7 @@ class BestFit:
         else:
             if length < self.capacity and self.count >= self.open_bins:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             free, at = self.capacity, self.made
             self.made += 1
         left = free - length
@@ -164,9 +167,8 @@ def document_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tasks: int = 1, length_column: str = "length", order: list[str] | None = None) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows that have a length.
 
-    Rows are dealt by a hash of ``order``; each task packs the longest first, ties
-    in hash order, so a task that runs again makes the same sequences. Short
-    pieces come last and fill what the long ones left.
+    Rows are dealt by a hash of ``order`` and arrive in the order of that hash,
+    which lengths have no part in; a task that runs again makes the same sequences.
     """
     order = order or pieces.columns
     names = pieces.columns
@@ -180,7 +182,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OP
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     dealt = pieces.withColumn("__order", F.xxhash64(*order)).repartition(tasks, "__order").withColumn("__task", F.spark_partition_id().cast("long"))
-    return dealt.sortWithinPartitions(F.desc(length_column), "__order", *order).mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return dealt.sortWithinPartitions("__order", *order).mapInArrow(run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = END_ID, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

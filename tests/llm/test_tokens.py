@@ -91,6 +91,16 @@ def test_best_fit_matches_a_plain_search():
             assert bins.count == len(free) <= bound
 
 
+def test_the_bound_on_open_bins_binds():
+    rng = random.Random(11)
+    lengths = [min(4096, int(rng.lognormvariate(6.4, 0.9)) + 1) for _ in range(20_000)]
+    bins = BestFit()
+    for n in lengths:
+        bins.place(n)
+        assert bins.count <= bins.open_bins
+    assert bins.closed > 0 and bins.made <= 1.01 * -(-sum(lengths) // 4096)
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
@@ -108,7 +118,7 @@ def test_packed_documents(spark):
     frame = awkward(spark, [(100 + i, "word " * (i * 37 % 400), "en", "s", 1) for i in range(200)])
     rows = pack_documents(frame, WORDS, capacity=256).collect()
     used = check_packing(rows, 256)
-    assert used <= 1.02 * sum(r.length for r in rows) / 256 + 1
+    assert used <= 1.05 * sum(r.length for r in rows) / 256 + 1
     library = Tokenizer.from_file(WORDS)
     expected = []
     for r in frame.collect():
