@@ -57,3 +57,21 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = links.select("v").distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+
+
+#: Tasks over which one component's nodes are spread where they learn its least id.
+SALTS = 16
+
+
+def with_component_least(nodes: DataFrame, of: DataFrame) -> DataFrame:
+    """``nodes(node, least, ...)`` with ``component_id``, the smallest ``least`` of each node's component.
+
+    ``of`` is the result of :func:`connected_components`; a node that is not in it
+    is a component of its own. Nodes of one component meet its least in ``SALTS``
+    tasks, so one that holds a third of all nodes is no single task's.
+    """
+    own = nodes.join(of, "node", "left").withColumn("__c", F.coalesce("component", "node"))
+    named = own.where("component is not null").groupBy("__c").agg(F.min("least").alias("__least"), F.lit(True).alias("__named"))
+    spread = named.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    met = own.withColumn("__salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(spread, ["__c", "__salt"], "left")
+    return met.withColumn("component_id", F.when(F.col("__named"), F.col("__least")).otherwise(F.col("least"))).select(*nodes.columns, "component_id")

@@ -1,16 +1,16 @@
 """Near-duplicate vectors by an exact metric range join.
 
 Vectors are compared as points of the unit sphere, where a cosine bound is a
-distance bound ``r``. Pivots cut each label's points into cells by nearest
-pivot. By the triangle inequality a point within ``r`` of a member of cell ``p``
-lies at most ``r`` beyond the plane halfway between its own pivot and ``p``, so
-copying the points in that margin lets every cell be joined alone and each
-member see all its links. Cells are joined in bounded blocks; a block gives link
-counts and a spanning forest, never the pairs.
-
-Equal vectors are one node with a multiplicity. Pivots are a bounded sample that
-steers cost, not results: a label without pivots is one cell, and a cell of any
-size is a grid of blocks.
+distance bound ``r``. Pivots, whose number grows with the square root of a
+label's vectors, cut its points into cells by nearest pivot. By the triangle
+inequality a point within ``r`` of a member of cell ``p`` lies at most ``r``
+beyond the plane halfway between its own pivot and ``p``, so copying the points
+in that margin lets every cell be joined alone and each member see all its
+links. Cells are joined in bounded blocks; a block gives link counts and a
+spanning forest, never the pairs.
+
+Equal vectors are one node with a multiplicity. Pivots are a sample that steers
+cost, not results: a cell of any size is a grid of blocks.
 """
 
 from __future__ import annotations
@@ -23,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, block_count, forest, whole_runs
+from .blocks import block_count, forest, whole_runs
 from .common import checkpointed
-from .components import connected_components
+from .components import connected_components, with_component_least
 
 THRESHOLD = 0.98
-#: Vectors for which there is one more pivot, and the most pivots.
-CELL = 2048
-MAX_PIVOTS = 1024
+#: A label of n vectors has about ``LEAST_PIVOTS + PIVOT_SHARE * sqrt(n)`` pivots.
+LEAST_PIVOTS = 4
+PIVOT_SHARE = 0.25
+#: Components of all pivots together: what every task holds (32 MB). Labels beyond it, the smallest first, are one cell each.
+PIVOT_FLOATS = 4_194_304
+#: Home members, and all members, of a cell that one block holds.
+ROW_BLOCK, COLUMN_BLOCK = 4096, 16_384
 _SLACK = 1e-6
 
 
@@ -52,6 +56,21 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return units(column.flatten().to_numpy(zero_copy_only=False), dim)
 
 
+def choose_pivots(nodes: DataFrame, floats: int = PIVOT_FLOATS) -> dict[tuple, np.ndarray]:
+    """Unit pivots by (label, dim), picked by a hash of the node: no sort and no window over a label."""
+    sizes = nodes.groupBy("label", "dim").agg(F.count("*").alias("size"))
+    share = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1 << 30)) / (1 << 30)
+    picked = nodes.join(sizes, ["label", "dim"]).where((F.col("size") > 1) & (share * F.col("size") < LEAST_PIVOTS + PIVOT_SHARE * F.sqrt("size")))
+    widest = nodes.agg(F.max("dim")).first()[0]
+    if not widest or floats < widest:
+        return {}
+    rows = picked.select("label", "dim", "vec", "size", "node").orderBy(F.desc("size"), "label", "dim", "node").limit(floats // widest).select("label", "dim", "vec").toArrow()
+    out: dict[tuple, list[int]] = {}
+    for at, key in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+        out.setdefault(key, []).append(at)
+    return {key: _matrix(rows.column(2).take(pa.array(own)), key[1]) for key, own in out.items() if len(own) > 1}
+
+
 def cell_rows(nodes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float) -> DataFrame:
     """``(label, dim, pivot, home, node, n, vec)``: each node in its own cell and in those whose margin it is in."""
     label_type = nodes.schema["label"].dataType.simpleString()
@@ -92,11 +111,11 @@ def cell_rows(nodes: DataFrame, pivots: dict[tuple, np.ndarray], radius: float)
     return ordered.mapInArrow(run, f"label {label_type}, dim int, pivot int, home boolean, node string, n long, vec {vec_type}")
 
 
-def cell_links(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def cell_links(placed: DataFrame, threshold: float, row_block: int = ROW_BLOCK, column_block: int = COLUMN_BLOCK) -> DataFrame:
     """``(node, n_links, root)`` by block: links of home members to other nodes, and forest edges."""
     keys = ["label", "dim", "pivot"]
     sizes = placed.groupBy(*keys).agg(F.count("*").alias("__all"), F.count(F.when(F.col("home"), 1)).alias("__own")).where("__all > 1")
-    sized = placed.join(sizes, keys).withColumn("__r", block_count(F.col("__own"), block)).withColumn("__c", block_count(F.col("__all"), block))
+    sized = placed.join(sizes, keys).withColumn("__r", block_count(F.col("__own"), row_block)).withColumn("__c", block_count(F.col("__all"), column_block))
     h = F.xxhash64("node")
     # as a row: one row block and every column block; as a column: the other way round; where both meet, once
     sides = sized.withColumn("__ri", F.pmod(h, F.col("__r")).cast("int")).withColumn("__ci", F.pmod(h, F.col("__c")).cast("int"))
@@ -139,7 +158,7 @@ def cell_links(placed: DataFrame, threshold: float, block: int = BLOCK) -> DataF
     return cells.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "node string, n_links long, root string")
 
 
-def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", cell: int = CELL, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_column: str = "vec_id", vector_column: str = "embedding", label_column: str = "label", pivot_floats: int = PIVOT_FLOATS) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for each row.
 
     Only rows with equal, non-null labels (and as many components) link, at a
@@ -157,17 +176,11 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_
     rows = rows.withColumn("node", node)
     nodes = rows.where("node is not null").groupBy("node").agg(F.any_value("label").alias("label"), F.any_value("vec").alias("vec"), F.count("*").alias("n"), F.min("__id").alias("least"))
     nodes = checkpointed(nodes.withColumn("dim", F.size("vec")))
-    size = nodes.count()
-    pivots: dict[tuple, list] = {}
-    if size > cell:
-        for r in nodes.orderBy(F.xxhash64("node"), "node").limit(min(max_pivots, -(-size // cell))).select("label", "dim", "vec").collect():
-            pivots.setdefault((r.label, r.dim), []).append(r.vec)
-    steered = {k: units(np.array(v, "f8").ravel(), k[1]) for k, v in pivots.items()}
-    links = checkpointed(cell_links(cell_rows(nodes, steered, math.sqrt(2 - 2 * threshold)), threshold))
+    pivots = choose_pivots(nodes, pivot_floats)
+    links = checkpointed(cell_links(cell_rows(nodes, pivots, math.sqrt(2 - 2 * threshold)), threshold))
     of = connected_components(links.select("node", "root"))
     counts = links.groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    classes = nodes.select("node", "n", "least").join(of, "node", "left").select("node", "n", "least", F.coalesce("component", "node").alias("c"))
-    named = classes.join(classes.groupBy("c").agg(F.min("least").alias("component_id")), "c").join(counts, "node", "left")
+    named = with_component_least(nodes.select("node", "n", "least"), of).join(counts, "node", "left")
     told = named.select("node", (F.coalesce("n_links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
     linked = rows.where("node is not null").select("__id", "node").join(told, "node")
     alone = rows.where("node is null").select("__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id"))

@@ -5,10 +5,11 @@ shingle hashes have it set. Fingerprints of at most ``radius`` differing bits
 link. Candidates come from pigeonring filtering: of a ring of ``segments`` bit
 segments with differences that sum to at most ``radius``, some segment starts a
 chain whose sums over 1, 2, ... segments all stay within the proportional
-budget. With ``radius < segments`` that first segment must be equal, so it is
-the index key; the longer chains are tested before the full distance.
+budget ``length * radius / segments``. While that budget is below one the chain's
+segments must be equal, so these are the index key: 4 segments in a row of 9, 28
+bits, at radius 2. The longer chains are tested before the full distance.
 
-Equal fingerprints are one node. Nodes that share a segment are compared in
+Equal fingerprints are one node. Nodes that share a key are compared in
 bounded blocks that emit a spanning forest, never the pairs themselves.
 """
 
@@ -24,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, forest, gridded, whole_runs
+from .blocks import forest, gridded, whole_runs
 from .common import checkpointed, small_slices, texts_or_empty
-from .components import connected_components
+from .components import connected_components, with_component_least
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-SEGMENTS = 3
+SEGMENTS = 9
+#: Fingerprints of a block.
+FP_BLOCK = 8192
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype("i8")
 
 
@@ -74,19 +77,15 @@ def segment_masks(segments: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:])]
 
 
-def hamming_links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = BLOCK) -> DataFrame:
+def hamming_links(nodes: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, block: int = FP_BLOCK) -> DataFrame:
     """Links ``(u, v)`` that join the distinct fingerprints of ``nodes(fp)`` as all pairs within ``radius`` would."""
     if not 0 <= radius < segments <= 32:
         raise ValueError("pigeonring needs 0 <= radius < segments <= 32")
     masks = segment_masks(segments)
-    chains = []  # by start: (bits of the first 2, 3, ... segments, budget)
-    for s in range(segments):
-        total, own = masks[s], []
-        for k in range(1, segments):
-            total |= masks[(s + k) % segments]
-            own.append((np.uint64(total), (k + 1) * radius // segments))
-        chains.append(own or [(np.uint64(2**64 - 1), radius)])
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    equal = (segments - 1) // radius if radius else segments  # how long a chain has no budget
+    ring = lambda start, length: sum(masks[(start + k) % segments] for k in range(length))
+    chains = [[(np.uint64(ring(s, k)), k * radius // segments) for k in range(equal + 1, segments + 1)] or [(np.uint64(2**64 - 1), radius)] for s in range(segments)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in (ring(s, equal) for s in range(segments))]
     keyed = nodes.select("fp", F.explode(F.array(*(F.struct(F.lit(s).alias("seg"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("val")) for s, m in enumerate(signed)))).alias("k")).select("k.seg", "k.val", "fp")
     cells = gridded(keyed, ["seg", "val"], F.xxhash64("fp"), block).select("seg", "val", "__i", "__j", "__b", "fp")
 
@@ -134,8 +133,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGME
     fps = checkpointed(fingerprints(docs, shingle, seed, text_column, [id_column]).select(F.col(id_column).alias("__id"), F.col("__fp").alias("fp")))
     nodes = fps.groupBy("fp").agg(F.min("__id").alias("least"))
     of = connected_components(hamming_links(nodes.select("fp"), radius, segments))
-    classes = nodes.join(of, nodes.fp == of.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
-    named = classes.join(classes.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fp", "component_id")
+    named = with_component_least(nodes.withColumnRenamed("fp", "node"), of).select(F.col("node").alias("fp"), "component_id")
     return fps.join(named, "fp").select(F.col("__id").alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

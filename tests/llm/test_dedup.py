@@ -58,7 +58,7 @@ def test_fingerprints():
         assert fingerprint(text) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("radius, segments", [(2, 3), (2, 5), (0, 1), (3, 4)])
+@pytest.mark.parametrize("radius, segments", [(2, 3), (2, 9), (0, 1), (3, 7)])
 def test_hamming_links_keep_components(spark, radius, segments):
     rng = random.Random(6)
     fps = set()
@@ -231,24 +231,43 @@ def slow_links(rows):
     return links
 
 
-@pytest.mark.parametrize("cell, block", [(2048, 1024), (40, 16)])
-def test_vector_near_duplicates(spark, monkeypatch, cell, block):
+@pytest.mark.parametrize("floats, blocks", [(4_194_304, (4096, 16_384)), (4_194_304, (16, 24)), (8 * 9, (16, 24)), (0, (16, 24))])
+def test_vector_near_duplicates(spark, monkeypatch, floats, blocks):
     import quire.llm.embedding as E
 
     own = E.cell_links
-    monkeypatch.setattr(E, "cell_links", lambda placed, threshold: own(placed, threshold, block))
+    monkeypatch.setattr(E, "cell_links", lambda placed, threshold: own(placed, threshold, *blocks))
     rows = vector_rows()
     links = slow_links(rows)
     of = union_find([i for i, _, _ in rows], [(i, j) for i, own in links.items() for j in own])
     expected = sorted((i, len(links[i]), of[i], of[i] == i) for i, _, _ in rows)
     frame = spark.createDataFrame(rows, VECTORS)
-    assert sorted(map(tuple, near_duplicate_vectors(frame, cell=cell).collect())) == expected
-    if cell == 40:
+    assert sorted(map(tuple, near_duplicate_vectors(frame, pivot_floats=floats).collect())) == expected
+    if not floats:
         assert near_duplicate_vectors(clashing(frame.limit(0))).count() == 0
         twice = near_duplicate_vectors(spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (None, None, None)], VECTORS))
         assert sorted(map(str, map(tuple, twice.collect()))) == sorted(map(str, [(1, 2, 1, True), (1, 2, 1, True), (None, 2, 1, False), (None, 0, None, True)]))
 
 
+def test_vectors_with_clashing_columns_and_many_components(spark):
+    wide = [(i, [float((i * 7 + k) % 11) for k in range(5000)], 1) for i in range(12)]
+    frame = spark.createDataFrame(wide, VECTORS)
+    assert listed(near_duplicate_vectors(clashing(frame).drop("label").withColumn("label", F.lit(1)))) == listed(near_duplicate_vectors(frame))
+
+
+def test_pivots_grow_and_cut_cells(spark):
+    from quire.llm.embedding import cell_rows, choose_pivots
+
+    rng = np.random.default_rng(2)
+    hubs = rng.normal(size=(40, 16))
+    rows = [(f"n{i:05}", int(i >= 100), [float(v) for v in np.float32(hubs[i % 40] + rng.normal(size=16) * 0.02)], 1, 16) for i in range(4400)]
+    nodes = spark.createDataFrame(rows, "node string, label int, vec array<float>, n long, dim int").cache()
+    pivots = choose_pivots(nodes)
+    assert 2 <= len(pivots[0, 16]) < len(pivots[1, 16]) <= 40
+    placed = cell_rows(nodes, pivots, 0.05).groupBy("pivot", "label").agg(F.count("*").alias("all"), F.sum(F.col("home").cast("int")).alias("own")).collect()
+    assert sum(r.own for r in placed) == 4400 and sum(r.all * r.own for r in placed) < 0.25 * (100**2 + 4300**2)
+
+
 def slow_top(rows, k, every):
     own = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v, _ in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
