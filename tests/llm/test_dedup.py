@@ -14,7 +14,7 @@ from quire.llm.embedding import near_duplicate_vectors
 from quire.llm.jaccard import drop_similar
 from quire.llm.simhash import drop_near_duplicates, fingerprint, hamming_links, near_duplicates
 from quire.llm.substring import cut_repeats, remove_repeats, unit_words
-from quire.llm.topk import search_bucket, top_k
+from quire.llm.topk import floors_of, search_bucket, top_k, with_floors
 
 
 def union_find(nodes, links):
@@ -280,20 +280,42 @@ def slow_top(rows, k, every):
 def test_top_k(spark):
     rows = vector_rows(5) + [(1000, [1e6] * 8, 1), (1001, [3e5] * 8, 1), (None, [1.0] * 8, 1)]
     frame = spark.createDataFrame(rows, VECTORS)
-    for bucket, block in ((8192, 1024), (20, 3)):
-        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(frame, k=4, every=20, bucket=bucket, block=block).collect())
+    for sizes in ({}, {"bucket_floats": 160, "query_floats": 24, "seed_floats": 96}, {"seed_floats": 8}):
+        got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(frame, k=4, every=20, **sizes).collect())
         assert got == slow_top(rows, 4, 20)
     assert top_k(clashing(frame).limit(0)).count() == 0
     assert sorted(map(str, top_k(clashing(frame), k=4, every=20).collect())) == sorted(map(str, top_k(frame, k=4, every=20).collect()))
 
 
-def test_pruned_search_is_exact():
+def test_two_vectors_of_one_id(spark):
+    frame = spark.createDataFrame([(0, [1.0, 5.0], 1), (0, [1.0, 2.0], 1), (3, [1.0, 1.0], 1), (4, [0.0, 2.0], 1)], VECTORS)
+    for order in (frame, frame.orderBy(F.desc("embedding"))):
+        assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(order, k=2).orderBy("rank").collect()] == [(0, 1, 4, 4 * 2**20), (0, 2, 3, 3 * 2**20)]
+
+
+@pytest.mark.parametrize("spread, share", [(0.0, 1.0), (1.5, 0.1)])
+def test_pruned_search_is_exact(spread, share):
     rng = np.random.default_rng(1)
-    for spread in (0.0, 1.5):
-        x = np.floor(rng.normal(size=(3000, 6)) * 50 * np.exp(rng.normal(size=(3000, 1)) * spread))
-        ids = rng.permutation(3000)
-        q, found, score = search_bucket(x[:20], ids[:20], x, ids, 5, step=64)
+    x = np.floor(rng.normal(size=(6000, 6)) * 50 * np.exp(rng.normal(size=(6000, 1)) * spread))
+    ids = rng.permutation(6000)
+    longest = np.argsort(-(x * x).sum(1))[:64]
+    for floors in (None, floors_of(x[:20], ids[:20], x[longest], ids[longest], 5)):
+        q, found, score, computed = search_bucket(x[:20], ids[:20], x, ids, 5, step=64, floors=floors)
+        assert computed <= share * 20 * 6000
         for k in range(20):
             full = (x @ x[k]).astype(int)
             order = sorted((-s, i) for s, i in zip(full.tolist(), ids.tolist()) if i != ids[k])[:5]
             assert sorted((-s, i) for s, i in zip(score[q == k].tolist(), found[q == k].tolist())) == order
+
+
+def test_short_buckets_are_not_moved(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rng.normal(size=4) * 10.0 ** (2 - i % 50 // 10)], 1) for i in range(3000)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    out = top_k(frame, k=3, every=50)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == slow_top(rows, 3, 50)
+    with_norm = frame.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(4).alias("dim"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + F.floor(v * 1024) * F.floor(v * 1024))).alias("norm"))
+    floors = {r.id: r.floor / r.norm for r in with_floors(with_norm.where("id % 50 = 0"), with_norm, 3, 1024, 4 * 256).collect()}
+    lengths = np.array([r.norm for r in with_norm.collect()])
+    reached = sum(int((lengths >= f).sum()) for f in floors.values())
+    assert reached < 0.3 * len(lengths) * len(floors)
