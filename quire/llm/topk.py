@@ -155,15 +155,14 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int, scale: int) -> np.ndar
     return scaled(column.flatten().to_numpy(zero_copy_only=False), dim, scale)
 
 
-def with_floors(queries: DataFrame, rows: DataFrame, k: int, scale: int, floats: int) -> DataFrame:
-    """Queries ``(dim, norm, id, vec)`` with ``floor``, from the longest rows of all."""
-    widest = rows.agg(F.max("dim")).first()[0] or 1
-    longest = rows.orderBy(F.desc("norm"), "id", "dim").limit(max(1, floats // widest)).select("dim", "id", "vec").toArrow()
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def with_floors(queries: DataFrame, rows: DataFrame, k: int, scale: int, seeds: int) -> DataFrame:
+    """Queries ``(dim, norm, id, vec)`` with ``floor``, from the ``seeds`` longest rows of all."""
+    longest = rows.orderBy(F.desc("norm"), "id", "dim").limit(seeds).select("dim", "id", "vec").toArrow()
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     dims = longest.column(0).to_numpy()
     for dim in np.unique(dims).tolist():
         own = longest.filter(pa.array(dims == dim))
-        seeds[dim] = _matrix(own.column(2), dim, scale), own.column(1).to_numpy()
+        held[dim] = _matrix(own.column(2), dim, scale), own.column(1).to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,9 +170,9 @@ def with_floors(queries: DataFrame, rows: DataFrame, k: int, scale: int, floats:
                 part = batch.slice(at, 1024)
                 floors, of = np.full(part.num_rows, np.iinfo("i8").min), part.column(0).to_numpy()
                 for dim in np.unique(of).tolist():
-                    if dim in seeds:
+                    if dim in held:
                         own = np.flatnonzero(of == dim)
-                        floors[own] = floors_of(_matrix(part.column(3).take(pa.array(own)), dim, scale), part.column(2).to_numpy()[own], *seeds[dim], k)
+                        floors[own] = floors_of(_matrix(part.column(3).take(pa.array(own)), dim, scale), part.column(2).to_numpy()[own], *held[dim], k)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(floors)], names=["dim", "norm", "id", "vec", "floor"])
 
     kind = queries.schema["vec"].dataType.simpleString()
@@ -194,17 +193,18 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, scale: int = SCALE,
     rows = vectors.where(usable(vector_column) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vec")).withColumn("dim", F.size("vec"))
     length = F.aggregate("vec", F.lit(0.0), lambda s, v: s + F.floor(v.cast("double") * scale).cast("double") * F.floor(v.cast("double") * scale).cast("double"))
     rows = checkpointed(rows.withColumn("norm", F.sqrt(length)))
-    edges = sorted(set(rows.approxQuantile("norm", [g / NORM_GROUPS for g in range(1, NORM_GROUPS)], 0.005)))
+    told = rows.agg(F.percentile_approx("norm", [g / NORM_GROUPS for g in range(1, NORM_GROUPS)], 200).alias("edges"), F.max("dim").alias("widest")).first()
+    edges = sorted(set(told.edges or []))
     group = F.lit(len(edges))
     for g in reversed(range(len(edges))):
         group = F.when(F.col("norm") < edges[g], F.lit(g)).otherwise(group)
     grouped = rows.withColumn("g", group)
     asking = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min(F.struct("vec", "dim", "norm")).alias("q")).select("q.dim", "q.norm", "id", "q.vec")
-    queries = checkpointed(with_floors(asking, rows, k, scale, seed_floats))
+    queries = checkpointed(with_floors(asking, rows, k, scale, max(1, seed_floats // (told.widest or 1))))
     # a row for each norm group and number of components
     buckets = grouped.groupBy("dim", "g").agg(F.max("norm").alias("longest"), F.greatest(F.lit(1), F.ceil(F.count("*") * F.col("dim") / bucket_floats)).cast("int").alias("parts"))
     could = F.col("norm") * F.col("longest") * (1 + 1e-9) + 1e-9 >= F.col("floor")
-    routed = checkpointed(queries.join(buckets, "dim").where(could).select("dim", "g", "parts", "id", "vec", "floor"))
+    routed = queries.join(buckets, "dim").where(could).select("dim", "g", "parts", "id", "vec", "floor")
     blocks = routed.groupBy("dim", "g", "parts").agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.col("dim") / query_floats)).cast("int").alias("blocks"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     candidates = grouped.join(blocks, ["dim", "g"]).withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.col("parts")).cast("int")).withColumn("qb", spread("blocks"))

@@ -315,7 +315,7 @@ def test_short_buckets_are_not_moved(spark):
     out = top_k(frame, k=3, every=50)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == slow_top(rows, 3, 50)
     with_norm = frame.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.lit(4).alias("dim"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, v: s + F.floor(v * 1024) * F.floor(v * 1024))).alias("norm"))
-    floors = {r.id: r.floor / r.norm for r in with_floors(with_norm.where("id % 50 = 0"), with_norm, 3, 1024, 4 * 256).collect()}
+    floors = {r.id: r.floor / r.norm for r in with_floors(with_norm.where("id % 50 = 0"), with_norm, 3, 1024, 256).collect()}
     lengths = np.array([r.norm for r in with_norm.collect()])
     reached = sum(int((lengths >= f).sum()) for f in floors.values())
     assert reached < 0.3 * len(lengths) * len(floors)
