@@ -1,17 +1,21 @@
 """Unigram token counts of whole texts, by dynamic programming over a trie of pre-tokens.
 
-The distinct pre-tokens of a batch form a trie. It is walked depth first; the
-best forward score of each node and the token count of that best path are
-computed once, from the nodes above it, however many pre-tokens share the
-prefix. The counts at terminal nodes are kept, and a text's count is their sum.
-
-Scores are whole numbers, so ties are exact; of equal scores fewer tokens win.
+Each distinct pre-token is inserted into a trie that a worker keeps over all its
+rows. A node holds the best forward score of the characters above it and the
+token count of that best path; both are computed once, when the node is made,
+from the nodes above it, however many pre-tokens share the prefix. The count at
+a pre-token's last node is its terminal count; a text's count is their sum. The
+trie is bounded: past ``max_nodes`` it starts anew, which costs time only.
+
+No public unigram model is at hand, only a BPE vocabulary in order of merges, and
+tokenizers are never trained. Scores therefore follow from the order of the file
+by Zipf's law: whole numbers, so ties are exact; of equal scores fewer tokens win.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -33,48 +37,60 @@ def piece_scores(path: str) -> dict[str, int]:
 
 
 class TrieCounter:
-    """Token counts of pre-tokens; ``memo`` bounds the table of terminal counts."""
+    """Token counts of pre-tokens; ``max_nodes`` bounds the trie."""
 
-    def __init__(self, scores: dict[str, int], memo: int = 500_000):
-        self.scores, self.memo_size = scores, memo
-        self.longest = max(map(len, scores), default=1)
-        self.terminals: dict[str, int] = {}
+    def __init__(self, scores: dict[str, int], max_nodes: int = 1_000_000):
+        self.scores, self.max_nodes = scores, max_nodes
+        self.endings = {p[k:] for p in scores for k in range(len(p))}  # what no longer piece can end with ends a search
+        self.clear()
 
-    def insert(self, words: Iterable[str]) -> None:
-        """Compute and store the counts of words, in trie order."""
-        known, longest, terminals = self.scores.get, self.longest, self.terminals
-        best, count, path = [0], [0], ""
-        for word in sorted(words):
-            text = "▁" + word
-            shared, limit = 0, min(len(path), len(text))
-            if path[:limit] == text[:limit]:
-                shared = limit
-            else:
-                while path[shared] == text[shared]:
-                    shared += 1
-            del best[shared + 1 :], count[shared + 1 :]
-            for end in range(shared + 1, len(text) + 1):
-                size = len(text[end - 1].encode("utf-8", "surrogatepass"))
-                top, fewest = best[end - 1] + BYTE_SCORE * size, count[end - 1] + size
-                for start in range(end - 1, max(-1, end - 1 - longest), -1):
-                    score = known(text[start:end])
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and count[start] + 1 < fewest:
-                            top, fewest = score, count[start] + 1
-                best.append(top)
-                count.append(fewest)
-            terminals[word] = count[-1]
-            path = text
-
-    def counts(self, texts: list[str]) -> list[tuple[int, int]]:
-        """``(pre-tokens, tokens)`` of each text."""
-        split = [t.split() for t in texts]
-        if len(self.terminals) > self.memo_size:
-            self.terminals.clear()
-        self.insert({w for own in split for w in own if w not in self.terminals})
-        of = self.terminals.__getitem__
-        return [(len(own), sum(map(of, own))) for own in split]
+    def clear(self) -> None:
+        #: node << 21 | character to node; score and count by node; terminal counts by pre-token
+        self.moves: dict[int, int] = {}
+        self.best, self.count = [0], [0]
+        self.terminals: dict[str, int] = {}
+        self.root = self._node("▁", 1, [0])
+
+    def _node(self, text: str, end: int, path: list[int]) -> int:
+        """Make the node of ``text[:end]`` below ``path``, the nodes of all its shorter prefixes."""
+        best, count, known, endings = self.best, self.count, self.scores.get, self.endings
+        size = len(text[end - 1].encode("utf-8", "surrogatepass"))
+        above = path[-1]
+        top, fewest = best[above] + BYTE_SCORE * size, count[above] + size
+        for start in range(end - 1, -1, -1):
+            piece = text[start:end]
+            score = known(piece)
+            if score is not None:
+                at = path[start]
+                score += best[at]
+                if score > top or score == top and count[at] + 1 < fewest:
+                    top, fewest = score, count[at] + 1
+            elif piece not in endings:
+                break
+        node = self.moves[above << 21 | ord(text[end - 1])] = len(best)
+        best.append(top)
+        count.append(fewest)
+        return node
+
+    def insert(self, word: str) -> int:
+        """The count of a pre-token; only nodes below its longest known prefix are computed."""
+        if len(self.best) > self.max_nodes:
+            self.clear()
+        text, node, path, moves = "▁" + word, self.root, [0, self.root], self.moves.get
+        for end in range(2, len(text) + 1):
+            node = moves(node << 21 | ord(text[end - 1])) or self._node(text, end, path)
+            path.append(node)
+        out = self.terminals[word] = self.count[node]
+        return out
+
+    def counts(self, text: str) -> tuple[int, int]:
+        """``(pre-tokens, tokens)`` of a text."""
+        words = text.split()
+        known, total = self.terminals.get, 0
+        for w in words:
+            n = known(w)
+            total += self.insert(w) if n is None else n
+        return len(words), total
 
 
 @lru_cache(maxsize=2)
@@ -87,14 +103,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", te
     """``(id, n_pretokens, n_tokens)`` for each row; pre-tokens are cut at white space.
 
     A null or empty text has none of either; null ids and repeated rows stay;
-    other columns are ignored. There is no shuffle, and a task holds the distinct
-    pre-tokens of a slice besides the bounded table.
+    other columns are ignored. There is no shuffle; a worker holds one text and the
+    bounded trie.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(vocabulary)
         for part in small_slices(batches, 1024):
-            got = own.counts(part.column(1).to_pylist())
+            got = [own.counts(t) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=[id_column, "n_pretokens", "n_tokens"])
 
     kind = docs.schema[id_column].dataType.simpleString()

@@ -133,7 +133,7 @@ def test_packed_documents(spark):
 
 
 def brute_count(scores, word):
-    text, longest = "▁" + word, max(map(len, scores))
+    text, longest = "▁" + word, 32
 
     @cache
     def best(end):
@@ -152,17 +152,29 @@ def brute_count(scores, word):
     return best(len(text))[1]
 
 
+def test_prefixes_are_scored_once():
+    counter = TrieCounter({"a": -1, "b": -2, "ab": -2, "▁": -1, "▁a": -3})
+    counter.counts("abab abba")
+    nodes = len(counter.best)
+    assert nodes == 2 + 4 + 2  # root, its mark, one word, and two more characters
+    counter.counts("abab ab abb")
+    assert len(counter.best) == nodes
+
+
 def test_trie_counts_match_brute_force(spark):
     scores = piece_scores(P.path("piece_bpe_32k.model"))
     rng = random.Random(7)
-    words = {"".join(rng.choice(["the", "th", "ing", "a", "é", "🙂", "日", "x", "er", "."]) for _ in range(rng.randint(1, 12))) for _ in range(400)}
-    counter = TrieCounter(scores, memo=100)
-    counter.insert(words)
-    assert all(counter.terminals[w] == brute_count(scores, w) for w in words)
-    frame = awkward(spark)
-    own = TrieCounter(scores)
-    expected = sorted(str((r.doc_id, *own.counts([r.text or ""])[0])) for r in frame.collect())
-    assert sorted(str(tuple(r)) for r in count_tokens(frame, P.path("piece_bpe_32k.model")).collect()) == expected
+    words = sorted({"".join(rng.choice(["the", "th", "ing", "a", "é", "🙂", "日", "x", "er", "."]) for _ in range(rng.randint(1, 12))) for _ in range(400)})
+    for bound in (1_000_000, 60):
+        counter = TrieCounter(scores, bound)
+        assert all(counter.insert(w) == brute_count(scores, w) for w in words + words[:50])
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 9))) for _ in range(30)]
+    frame = awkward(spark, [(50 + i, t, "en", "s", 1) for i, t in enumerate(texts)]).where("doc_id is null or doc_id <> 6")
+    expected = sorted(str((r.doc_id, len((r.text or "").split()), sum(brute_count(scores, w) for w in (r.text or "").split()))) for r in frame.collect())
+    out = count_tokens(frame, P.path("piece_bpe_32k.model"))
+    assert sorted(str(tuple(r)) for r in out.collect()) == expected
+    assert listed(count_tokens(clashing(frame), P.path("piece_bpe_32k.model"))) == listed(out)
+    assert count_tokens(awkward(spark), P.path("piece_bpe_32k.model")).count() == awkward(spark).count()
     assert count_tokens(clashing(frame).limit(0), P.path("piece_bpe_32k.model")).count() == 0
 
 
