@@ -1,22 +1,28 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Each token spans a character lattice: a look-alike may stand for letters, a
-separator or a repeated letter may be noise, and runs of single letters may be
-one word. Viterbi decoding under a character trigram model, counted over all
-documents, restores the likeliest word. Restored words and their prefixes are
-scored by a lexicon whose entries are learnt from labelled rows: a document is
-toxic unless none of its independent words makes it so (noisy-or).
-
-The lexicon is fitted on at most ``MAX_TRAIN`` labelled rows, one for each group
+Text that may be disguised spans a character lattice: a look-alike may stand for
+letters; a separator, a space or a repeated letter may be noise; a mark or space
+may also be a word break. Viterbi decoding under a character trigram model,
+counted over all documents, restores the likeliest words. Decoded are tokens with
+marks, digits or thrice repeated letters, whole runs of single letters with their
+neighbours, and whatever spells an entry of the lexicon apart from spaces, marks,
+look-alikes and repetition: there the entry's own path through the lattice must
+come near the best one.
+
+Restored words and their prefixes are scored by a logistic model with weights of
+zero or more, learnt from labelled rows. Its ridge penalty falls with a feature's
+support, so that rare words of copied passages weigh little.
+
+The scorer is fitted on at most ``MAX_TRAIN`` labelled rows, one for each group
 of near copies. Language model and scores cover every document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +33,15 @@ from pyspark.sql import functions as F
 from .common import small_slices, texts_or_empty
 
 MAX_TRAIN = 20_000
-MAX_LEXICON = 50_000
 THRESHOLD = 0.3
-#: An entry's share of toxic documents must reach SURE, and LEAST_SHARE when taken this many standard errors low.
+#: A feature is learnt if its share of toxic documents reaches LEAST_SHARE when taken this many standard errors low.
 ERRORS = 2.0
-SURE = 0.95
-LEAST_SHARE = 0.5
-LEAST_NEW = 2
-PREFIXES = (4, 5, 6)
+LEAST_SHARE = 0.3
+#: A feature of n toxic documents has the ridge penalty RIDGE / n ** 2.
+RIDGE = 20.0
+#: Weight from which an entry is looked for in disguise.
+HEAVY = 1.0
+PREFIXES = (4, 5, 6, 7)
 _CLASSES = 28  # 0 boundary, 1-26 a-z, 27 any other letter
 
 #: Characters and the letters they may stand for.
@@ -44,6 +51,9 @@ LOOKALIKES = {
 }
 _EDGES = ".,;:?!\"'`´()[]{}<>|…%&*#~^=/\\-_«»“”„‘’¿¡"
 _REPEATED = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1+")
+#: Letters of one look-alike count as one where the lexicon is searched.
+_ALIKE = str.maketrans({"l": "i", "g": "b", **{c: {"l": "i", "g": "b"}.get(x[0], x[0]) for c, x in LOOKALIKES.items()}})
 
 
 def _classes() -> np.ndarray:
@@ -97,19 +107,29 @@ def character_model(docs: DataFrame, text_column: str = "text") -> np.ndarray:
 
 
 class Channel:
-    """Restores tokens; ``model`` is a table of trigram log probabilities."""
+    """Restores text; ``model`` is a table of trigram log probabilities."""
 
-    SUBSTITUTE, NOISE, REPEAT = -1.0, -2.5, -0.7
+    SUBSTITUTE, NOISE, REPEAT, SPACE = -1.0, -2.5, -0.7, -2.5
+    #: How far below the best path a lexicon entry's own path may lie.
+    MARGIN = 6.0
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
 
-    def decode(self, token: str) -> str:
-        """The likeliest letters behind a lower-case token (Viterbi over the last two letters)."""
+    def options(self, ch: str) -> tuple[list[tuple[str, float]], float | None]:
+        """The letters (and their cost) that a character may stand for, and its cost as noise; "" is a word break."""
+        if ch.isalpha():
+            return [(ch, 0.0)], None
+        if ch.isspace():
+            return [("", 0.0)], self.SPACE
+        return [(x, self.SUBSTITUTE) for x in LOOKALIKES.get(ch, "")], self.NOISE
+
+    def best(self, text: str) -> tuple[float, list[str]]:
+        """Score and words of the best path through the lattice of a lower-case text (Viterbi over the last two classes)."""
         model = self.model
         beam: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}
-        for ch in token:
-            options = [(ch, 0.0)] if ch.isalpha() else [(x, self.SUBSTITUTE) for x in LOOKALIKES.get(ch, "")]
+        for ch in text:
+            letters, noise = self.options(ch)
             grown: dict[tuple[int, int, str], tuple[float, tuple]] = {}
 
             def offer(key: tuple[int, int, str], score: float, back: tuple) -> None:
@@ -117,39 +137,80 @@ class Channel:
                     grown[key] = (score, back)
 
             for (a, b, last), (score, back) in beam.items():
-                if not ch.isalpha():
-                    offer((a, b, last), score + self.NOISE, back)
-                for letter, cost in options:
-                    if letter == last:
-                        offer((a, b, last), score + cost + self.REPEAT, back)
-                    c = _class_of(letter)
+                if noise is not None:
+                    offer((a, b, last), score + noise, back)
+                for letter, cost in letters:
+                    if letter == last:  # a repeated letter, or one more space between words
+                        offer((a, b, last), score + cost + (self.REPEAT if letter else 0.0), back)
+                        if not letter:
+                            continue
+                    c = _class_of(letter) if letter else 0
                     offer((b, c, letter), score + cost + model[a][b][c], (back, letter))
             beam = grown
-        _, back = max(((s + model[a][b][0], k) for k, (s, _) in beam.items() for a, b in [k[:2]]), default=(0.0, None))
+        score, back = max(((s + (model[a][b][0] if b else 0.0), back) for (a, b, _), (s, back) in beam.items()), key=lambda x: x[0], default=(0.0, ()))
         out: list[str] = []
-        at = beam[back][1] if back is not None else ()
-        while at:
-            at, letter = at
-            out.append(letter)
-        return "".join(reversed(out))
+        while back:
+            back, letter = back
+            out.append(letter or " ")
+        return score, "".join(reversed(out)).split()
+
+    def own_path(self, text: str, word: str) -> float:
+        """Score of the best path that reads a text as one word; minus infinity without one."""
+        a, b, language = 0, 0, 0.0
+        for letter in word:
+            c = _class_of(letter)
+            language += self.model[a][b][c]
+            a, b = b, c
+        language += self.model[a][b][0]
+        costs = [0.0] + [-np.inf] * len(word)  # by letters read so far
+        for ch in text:
+            letters, noise = self.options(ch)
+            of = dict(letters)
+            grown = [-np.inf if noise is None else x + noise for x in costs]
+            for k, x in enumerate(costs):
+                if k and word[k - 1] in of:
+                    grown[k] = max(grown[k], x + of[word[k - 1]] + self.REPEAT)
+                if k < len(word) and word[k] in of:
+                    grown[k + 1] = max(grown[k + 1], x + of[word[k]])
+            costs = grown
+        return language + costs[-1]
+
+    def reads_as(self, text: str, word: str) -> bool:
+        own = self.own_path(text, word)
+        return own > -np.inf and own >= self.best(text)[0] - self.MARGIN
+
+    def decode(self, text: str) -> str:
+        return " ".join(self.best(text)[1])
 
     def restore(self, token: str) -> str:
         """The word behind a lower-case token; plain words and numbers are themselves."""
         bare = token.strip(_EDGES)
         if bare.isalpha():
             return bare if not _REPEATED.search(bare) else self.decode(bare)
-        if not any(c.isalpha() for c in bare) or len(bare) > 256:
-            return bare
-        return self.decode(bare)
+        return bare if not any(c.isalpha() for c in bare) else self.decode(bare)
 
 
-def tokens(text: str) -> list[str]:
-    """Lower-case tokens, and the joined runs of three or more single characters."""
-    out = text.lower().split()
-    if len([t for t in out if len(t) == 1]) >= 3:
-        joined = ["".join(g) for single, g in ((k, list(v)) for k, v in groupby(out, lambda t: len(t) == 1)) if single and len(g) >= 3]
-        out += joined
-    return out
+def bare_length(token: str) -> int:
+    return len(token.strip(_EDGES)) if len(token) > 1 else 1
+
+
+def spaced_runs(tokens: list[str]) -> Iterator[str]:
+    """Runs of short tokens that hold two single characters or more, with the tokens beside them."""
+    singles = [i for i, t in enumerate(tokens) if len(t) < 8 and bare_length(t) == 1]
+    at = 0
+    while at < len(singles):
+        first = last = singles[at]
+        at += 1
+        while at < len(singles) and all(bare_length(t) < 3 for t in tokens[last + 1 : singles[at]]):
+            last = singles[at]
+            at += 1
+        if last > first:
+            yield " ".join(t.strip(_EDGES) or t for t in tokens[max(0, first - 1) : last + 2])
+
+
+def skeleton(text: str) -> str:
+    """What noise leaves alone: letters, look-alikes as one of theirs, without repetition."""
+    return _RUN.sub(r"\1", "".join(c for c in text.translate(_ALIKE) if c.isalpha()))
 
 
 def features(word: str) -> list[str]:
@@ -161,33 +222,98 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(False))
 
 
-class Scorer:
-    """Scores texts; ``memo`` bounds the table of known tokens."""
-
-    def __init__(self, model: np.ndarray, lexicon: dict[str, float], rest: float, memo: int = 400_000):
-        self.channel, self.lexicon, self.rest, self.memo_size = Channel(model), lexicon, rest, memo
-        self.memo: dict[str, tuple[str, float] | None] = {}
+class Restorer:
+    """Restored words of texts; ``memo`` bounds the tables of known tokens and runs."""
+
+    def __init__(self, model: np.ndarray, memo: int = 400_000):
+        self.channel, self.memo_size = Channel(model), memo
+        self.words: dict[str, str] = {}
+        self.runs: dict[str, tuple[str, ...]] = {}
+
+    def word(self, token: str) -> str:
+        known = self.words.get(token)
+        if known is None:
+            known = self.channel.restore(token)
+            if len(token) <= 64:
+                if len(self.words) > self.memo_size:
+                    self.words.clear()
+                self.words[token] = known
+        return known
+
+    def run_words(self, tokens: list[str]) -> set[str]:
+        """Words that runs of single letters spell."""
+        out: set[str] = set()
+        for run in spaced_runs(tokens):
+            known = self.runs.get(run)
+            if known is None:
+                known = tuple({w for w in self.channel.best(run)[1] if len(w) > 2})
+                if len(run) <= 64:
+                    if len(self.runs) > self.memo_size:
+                        self.runs.clear()
+                    self.runs[run] = known
+            out.update(known)
+        return out
 
-    def _look(self, token: str) -> tuple[str, float] | None:
-        word = self.channel.restore(token)
-        shares = [self.lexicon[f] for f in features(word) if f in self.lexicon]
-        found = (word, max(shares)) if shares else None
-        if len(token) <= 64:
-            self.memo[token] = found
-        return found
 
-    def __call__(self, text: str) -> float:
+class Scorer:
+    """Scores texts by the weights of features and an intercept."""
+
+    def __init__(self, model: np.ndarray, lexicon: dict[str, float], intercept: float, memo: int = 400_000):
+        self.restorer, self.lexicon, self.intercept, self.memo_size = Restorer(model, memo), lexicon, intercept, memo
+        self.index: dict[str, list[str]] = {}
+        for w in sorted(lexicon):
+            if not w.endswith("*") and self.weight(w) >= HEAVY:
+                self.index.setdefault(skeleton(w), []).append(w)
+        self.prefixes = {k[:n] for k in self.index for n in range(1, len(k))}
+        #: by token: its words that have a weight, and whether an entry could go on behind it
+        self.memo: dict[str, tuple[dict[str, float], bool] | None] = {}
+
+    def weight(self, word: str) -> float:
+        return sum(self.lexicon[f] for f in features(word) if f in self.lexicon)
+
+    def _weighed(self, words: Iterable[str]) -> dict[str, float]:
+        return {w: x for w in words if (x := self.weight(w))}
+
+    def _spelled(self, text: str, key: str) -> dict[str, float]:
+        """The heaviest entry that a text may spell."""
+        own = max(((self.weight(w), w) for w in self.index.get(key, ()) if self.restorer.channel.reads_as(text, w)), default=None)
+        return {own[1]: own[0]} if own else {}
+
+    def _look(self, token: str) -> tuple[dict[str, float], bool] | None:
+        words, bare = self._weighed(self.restorer.word(token).split()), token.strip(_EDGES)
+        key = skeleton(bare)
+        for text, own in ((bare, key), (token, skeleton(token))):  # a mark at an edge may be a letter too
+            if not words and own in self.index:
+                words = self._spelled(text, own)
+        return (words, key in self.prefixes) if words or key in self.prefixes else None
+
+    def words(self, text: str) -> dict[str, float]:
+        """The distinct restored words of a text that have a weight."""
         if len(self.memo) > self.memo_size:
             self.memo.clear()
-        memo, words = self.memo, {}
-        for token in set(tokens(text)):
-            found = memo[token] if token in memo else self._look(token)
-            if found:
-                words[found[0]] = found[1]
-        clean = 1.0 - self.rest
-        for word in sorted(words):
-            clean *= 1.0 - words[word]
-        return min(1.0, max(0.0, 1.0 - clean))
+        tokens = text.lower().split()
+        memo, long = self.memo, {}
+        for t in set(tokens):
+            if t not in memo:
+                (memo if len(t) <= 64 else long)[t] = self._look(t)
+        out: dict[str, float] = {}
+        for at, t in enumerate(tokens):
+            found = memo[t] if t in memo else long[t]
+            if found is None:
+                continue
+            out |= found[0]
+            if found[1]:  # an entry may go on behind the next space
+                key, to = skeleton(t.strip(_EDGES)), at + 1
+                while to < len(tokens) and key in self.prefixes:
+                    key = _RUN.sub(r"\1", key + skeleton(tokens[to].strip(_EDGES)))
+                    to += 1
+                    if key in self.index:
+                        out |= self._spelled(" ".join(x.strip(_EDGES) or x for x in tokens[at:to]), key)
+        return out | self._weighed(self.restorer.run_words(tokens))
+
+    def __call__(self, text: str) -> float:
+        own = self.words(text)
+        return 1.0 / (1.0 + math.exp(-max(-700.0, self.intercept + sum(own[w] for w in sorted(own)))))
 
 
 def _copy_key(text: str) -> int:
@@ -196,8 +322,32 @@ def _copy_key(text: str) -> int:
     return min((xxhash.xxh3_64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:])), default=xxhash.xxh3_64_intdigest(" ".join(words))) & (2**63 - 1)
 
 
+def logistic(rows: list[tuple[bool, list[int], int]], penalty: np.ndarray, rounds: int = 800) -> tuple[np.ndarray, float]:
+    """Weights, none below zero, and intercept of a ridge-penalised logistic model, by accelerated projected gradients.
+
+    ``rows`` are (toxic, features, number of documents).
+    """
+    y, n = np.array([t for t, _, _ in rows], float), np.array([k for _, _, k in rows], float)
+    sizes = np.array([len(f) for _, f, _ in rows], int)
+    doc, of = np.repeat(np.arange(len(rows)), sizes), np.array([j for _, f, _ in rows for j in f], int)
+    many = len(penalty)
+    bend = 0.25 * np.bincount(of, weights=(n * (sizes + 1))[doc], minlength=many) + penalty
+    bend0 = 0.25 * float((n * (1 + sizes)).sum()) + 0.05
+    w, b, at = np.zeros(many), -2.0, 1.0
+    ahead, ahead0 = w, b
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(np.bincount(doc, weights=ahead[of], minlength=len(rows)) + ahead0)))
+        off = n * (p - y)
+        new = np.maximum(0, ahead - (np.bincount(of, weights=off[doc], minlength=many) + penalty * ahead) / bend)
+        new0 = ahead0 - (off.sum() + 0.05 * (ahead0 + 2)) / bend0
+        following = (1 + np.sqrt(1 + 4 * at * at)) / 2
+        ahead, ahead0 = new + (at - 1) / following * (new - w), new0 + (at - 1) / following * (new0 - b)
+        w, b, at = new, float(new0), following
+    return w, b
+
+
 def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_train: int = MAX_TRAIN) -> tuple[dict[str, float], float]:
-    """The lexicon (feature to share of toxic documents) and the share among documents without any entry.
+    """The lexicon (weights of features) and the intercept.
 
     Learns from at most ``max_train`` labelled rows that are not held out, the
     ones of lowest hash; of near copies with one label one row counts.
@@ -208,19 +358,14 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str =
     rows = text.join(F.broadcast(chosen), F.col("__id") == F.col(id_column)).select("__text", "__toxic")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel, memo = Channel(model), {}
+        restorer = Restorer(model)
         for part in small_slices(batches):
             texts = part.column(0).to_pylist()
             words = []
             for text in texts:
-                own = set()
-                for token in set(tokens(text)):
-                    if token not in memo:
-                        if len(memo) > 400_000:
-                            memo.clear()
-                        memo[token] = features(channel.restore(token))
-                    own.update(memo[token])
-                words.append(sorted(own))
+                split = text.lower().split()
+                restored = {w for t in set(split) for w in restorer.word(t).split()} | restorer.run_words(split)
+                words.append(sorted({f for w in restored for f in features(w)}))
             yield pa.RecordBatch.from_arrays([pa.array([_copy_key(t) for t in texts], pa.int64()), part.column(1), pa.array(words, pa.list_(pa.string()))], names=["copy", "toxic", "words"])
 
     single = rows.mapInArrow(keyed, "copy long, toxic int, words array<string>").groupBy("copy", "toxic").agg(F.min("words").alias("words"))
@@ -244,7 +389,8 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str =
     n = F.col("n0") + F.col("n1")
     share, z2 = F.col("n1") / n, ERRORS**2
     low = (share + z2 / (2 * n) - ERRORS * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
-    entries = counts.where((low >= LEAST_SHARE) & (share >= SURE) & (F.col("word") != "")).orderBy(low.desc(), "word").limit(MAX_LEXICON).collect()
+    # features of at most max_train rows, three of them toxic or more
+    entries = counts.where((low >= LEAST_SHARE) & (F.col("n1") > 2) & (F.col("word") != "")).orderBy("word").collect()
     place = {r.word: i for i, r in enumerate(entries)}
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,48 +400,26 @@ def fit(docs: DataFrame, labels: DataFrame, model: np.ndarray, id_column: str =
 
     # at most a row for each training document
     seen = single.select("toxic", "words").mapInArrow(placed, "toxic int, entries array<int>").groupBy("toxic", "entries").agg(F.count("*").alias("n")).collect()
-    chosen_entries = explaining([(r.entries, r.n) for r in seen if r.toxic], len(entries))
-    lexicon = {r.word: (r.n1 + 0.1) / (r.n0 + r.n1 + 0.2) for i, r in enumerate(entries) if i in chosen_entries}
-    plain = [0, 0]
-    for r in seen:
-        if not chosen_entries.intersection(r.entries):
-            plain[bool(r.toxic)] += r.n
-    return lexicon, (plain[1] + 0.1) / (sum(plain) + 1)
-
-
-def explaining(toxic: list[tuple[list[int], int]], entries: int) -> set[int]:
-    """The entries that toxic documents need, best first: each must mark ``LEAST_NEW`` that no better one marks.
-
-    Edited copies of one toxic document share all its rare words; those words are
-    no evidence of their own once a better entry marks the documents.
-    """
-    having: list[list[int]] = [[] for _ in range(entries)]
-    for doc, (own, _) in enumerate(toxic):
-        for e in own:
-            having[e].append(doc)
-    marked, out = set(), set()
-    for e, docs in enumerate(having):
-        new = [d for d in docs if d not in marked]
-        if sum(toxic[d][1] for d in new) >= LEAST_NEW:
-            out.add(e)
-            marked.update(new)
-    return out
+    if not seen:
+        return {}, -2.0
+    weights, intercept = logistic([(bool(r.toxic), r.entries, r.n) for r in sorted(seen, key=lambda r: (r.toxic, r.entries))], np.array([RIDGE / r.n1**2 for r in entries]))
+    return {r.word: float(x) for r, x in zip(entries, weights) if x > 1e-3}, intercept
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", threshold: float = THRESHOLD, max_train: int = MAX_TRAIN, keep: list[str] | None = None) -> DataFrame:
     """The kept columns (the id), ``held_out``, ``score`` (0 to 1) and ``predicted`` for each row.
 
-    Only texts are scored; a null text counts as empty and has the share of toxic
-    rows without a lexicon entry. Null ids are scored, repeated rows alike; with
+    Only texts are scored; a null text counts as empty and has the score of the
+    intercept alone. Null ids are scored, repeated rows alike; with
     no labels at all every score is that of an empty text. Of several labels of
     one id the highest counts.
     """
     keep = [id_column] if keep is None else keep
     model = character_model(docs, text_column)
-    lexicon, rest = fit(docs, labels, model, id_column, text_column, label_column, max_train)
+    lexicon, intercept = fit(docs, labels, model, id_column, text_column, label_column, max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = Scorer(model, lexicon, rest)
+        score = Scorer(model, lexicon, intercept)
         for part in small_slices(batches):
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([score(t) for t in part.column(0).to_pylist()], pa.float64())], names=[*keep, "__score"])
 

@@ -12,7 +12,7 @@ from test_queries import TABLES, rows as plain_rows
 
 from quire.llm import queries as Q
 from quire.llm.pii import KINDS, find_pii, luhn, redact, redact_pii, reliabilities, spans_of
-from quire.llm.toxicity import Channel, explaining, log_model, score_toxicity, tokens, trigram_counts
+from quire.llm.toxicity import Channel, Scorer, log_model, logistic, score_toxicity, spaced_runs, trigram_counts
 from quire.llm.url_filter import judge_urls, match_rules
 
 SF = "/root/testdata/sf0.001"
@@ -102,17 +102,72 @@ def test_reliabilities_find_the_better_labeler():
     assert accuracy[[0, 1, 3]].min() > 0.85 > 0.7 > accuracy[[2, 4, 5]].max() and 0.4 < prior < 0.6
 
 
-def test_noisy_channel():
-    channel = Channel(log_model(trigram_counts(["the idiot and the moron are not a pathetic clown, a loser is trash and scum; stupid sit still"] * 20)))
-    for noisy, word in {"1d10t": "idiot", "i.d.i.o.t": "idiot", "idiooooot": "idiot", "m0r0n": "moron", "$tup1d": "stupid", "idiot": "idiot", "idiot!!": "idiot", "42": "42", "p@thetic": "pathetic"}.items():
-        assert channel.restore(noisy) == word, noisy
-    assert "idiot" in tokens("You I D I O T there")
-    assert channel.restore("1" * 5000 + "a") == "1" * 5000 + "a"
+PROSE = "the idiot and the moron are not a pathetic clown, a loser is trash and scum; stupid sit still at a mill"
+
 
+def channel():
+    return Channel(log_model(trigram_counts([PROSE] * 20)))
 
-def test_lexicon_needs_own_documents():
-    toxic = [([0], 1)] * 5 + [([0, 2, 3], 1)] * 9 + [([1], 1)] * 4
-    assert explaining(toxic, 4) == {0, 1}
+
+def test_noisy_channel():
+    own = channel()
+    for noisy, word in {"1d10t": "idiot", "i.d.i.o.t": "idiot", "idiooooot": "idiot", "m0r0n": "moron", "$tup1d": "stupid", "idiot": "idiot", "idiot!!": "idiot", "42": "42", "p@thetic": "pathetic"}.items():
+        assert own.restore(noisy) == word, noisy
+    for noisy, words in {"i d i o t": "idiot", "id iot": "idiot", "i d i o t m o r o n": "idiot moron", "a m o r o n": "a moron", "iddiot": "idiot", "the clown": "the clown", "s c u m, a": "scum a"}.items():
+        assert own.decode(noisy) == words, noisy
+    assert own.restore("i.d.i.o.t." * 60) == "idiot" * 60 and own.decode("i d i o t " * 80) == " ".join(["idiot"] * 80)
+
+
+def all_paths(own, text, a=0, b=0, last="", score=0.0, words=""):
+    """Every path through the lattice, one after the other."""
+    if not text:
+        yield score + (own.model[a][b][0] if b else 0.0), " ".join(words.split())
+        return
+    ch, rest = text[0], text[1:]
+    letters, noise = own.options(ch)
+    if noise is not None:
+        yield from all_paths(own, rest, a, b, last, score + noise, words)
+    for letter, cost in letters:
+        if letter == last:
+            yield from all_paths(own, rest, a, b, last, score + cost + (own.REPEAT if letter else 0), words)
+        if letter or last:
+            c = ord(letter) - 96 if letter else 0
+            yield from all_paths(own, rest, b, c, letter, score + cost + own.model[a][b][c], words + (letter or " "))
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    own, rng = channel(), np.random.default_rng(3)
+    for _ in range(300):
+        text = "".join(rng.choice(list("idotsmr1160!. @"), rng.integers(1, 9)))
+        paths = list(all_paths(own, text))
+        score, words = own.best(text)
+        assert abs(score - max(p[0] for p in paths)) < 1e-9, text
+        assert any(abs(s - score) < 1e-9 and w == " ".join(words) for s, w in paths), text
+        for _, word in paths[:: max(1, len(paths) // 5)]:
+            if word and " " not in text:
+                assert abs(own.own_path(text, word) - max(s for s, w in paths if w == word)) < 1e-9, (text, word)
+
+
+def test_runs_of_spaced_letters():
+    assert list(spaced_runs("you I D I O T. there a man of a town".split())) == ["you I D I O T there"]
+    assert list(spaced_runs("a m or on x".split())) == ["a m or on x"] and list(spaced_runs("x".split())) == list(spaced_runs([])) == []
+
+
+def test_scores_of_disguised_words():
+    score = Scorer(log_model(trigram_counts([PROSE] * 20)), {"idiot": 4.0, "moron": 4.0, "scum": 3.0, "path*": 0.1}, -3.0)
+    for text, words in {
+        "you I D I O T.": {"idiot"}, "a m o r o n": {"moron"}, "i d i o t m o r o n": {"idiot", "moron"}, "id i ot!": {"idiot"}, "mo ron and idioot": {"idiot", "moron"}, "iddiot": {"idiot"},
+        "S.C.U.M": {"scum"}, "!d!ot": {"idiot"}, "1.d.1.0.t." * 70: set(), "m0 r0n": {"moron"}, "the 1 d 1 0 t and": {"idiot"}, "a pathetic": {"pathetic"}, "the clown": set(), "x" * 9000 + " s c u m": {"scum"},
+    }.items():
+        assert set(score.words(text)) == words, text
+    assert score("") == score("the clown") < 0.3 < score("id iot") and 0 <= score("idiot moron scum " * 500) <= 1
+
+
+def test_rare_words_weigh_little():
+    toxic = [(True, [0], 40), (True, [0, 2], 3), (True, [1], 30), (False, [], 500), (False, [2], 1)]
+    weights, intercept = logistic(toxic, np.array([20 / 43**2, 20 / 30**2, 20 / 3**2]))
+    p = lambda *f: 1 / (1 + np.exp(-(intercept + sum(weights[k] for k in f))))
+    assert p(0) > 0.9 and p(1) > 0.9 and p(2) < 0.3 and p() < 0.05
 
 
 def test_toxicity(spark):
