@@ -1,24 +1,26 @@
 """Personal data by weak-supervision aggregation.
 
-Candidate spans of four kinds come from the base patterns and from wider ones
-(spelled-out addresses, numbers without a country code, shorter card numbers,
-IPv6). Three families of labelers vote on each candidate: strict patterns,
-gazetteers (mail hosts, reserved networks, issuer prefixes, country codes) and
-context words. Votes are counted as patterns over all documents; expectation
-maximisation estimates each labeler's reliability and each pattern's
-probability; a logistic span classifier is then fitted to those probabilities
-over shape features. Base matches are always kept, and the classifier adds
-candidates that touch none of them.
+Candidate spans come from the base patterns and from wider ones: spelled-out
+addresses, other dotted runs and IPv6, runs of 13 to 19 digits whatever their
+check digit, numbers without a country code, and long mixed runs that may be
+secrets. Six labelers vote yes, no or not at all on each candidate: pattern,
+gazetteer (mail hosts, reserved networks, issuers, country codes, key formats),
+context words for and against, edges and shape. Votes are counted as patterns
+over all documents. Expectation maximisation estimates how often each labeler
+says yes to true and to false candidates, and each pattern's probability; a
+logistic span classifier is then fitted to those probabilities over shape
+features. Base matches are always kept, and the classifier adds candidates that
+touch none of them.
 
 Only counts of (kind, votes, features) patterns reach the driver: at most
-``4 * 3**6 * 2**8`` rows whatever the corpus. No pattern backtracks over more
+``5 * 3**6 * 2**8`` rows whatever the corpus. No pattern backtracks over more
 than the characters it is on, so very long texts cost linear time.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import small_slices, texts_or_empty
 
-KINDS = ("email", "ip", "card", "phone")
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 ADD_AT = 0.9
 LABELERS = 6
 FEATURES = 8
@@ -38,22 +41,29 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PLUS = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORDY_AT = re.compile(r" ?[\[(]at[\])] ?| at (?=[A-Za-z0-9-]{1,64} ?(?:[\[(]dot[\])]| dot ))", re.I)
+_WORDY_AT = re.compile(r" ?[\[(]at[\])] ?| at (?=[A-Za-z0-9-]++ ?(?:[\[(]dot[\])]| dot ))", re.I)
 _SPELLED = re.compile(r"[\[(]at[\])]|[\[(]dot[\])]| dot ", re.I)
-_WORDY_LOCAL = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
-_WORDY_DOMAIN = re.compile(r"[A-Za-z0-9-]{1,64}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{1,63}){1,6}", re.I)
+_WORDY_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]++)++", re.I)
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")
+_MIXED = re.compile(r"[A-Za-z0-9_-]{16,}+")
+_HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
+_WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 #: Context words by kind, mail hosts, issuer prefixes.
 CONTEXT = {
     "email": ("mail", "email", "e-mail", "contact", "write", "address", "correo", "kontakt"),
     "ip": ("ip", "host", "server", "address", "login", "from"),
     "card": ("card", "visa", "mastercard", "credit", "debit", "payment", "karte", "tarjeta", "carte"),
+    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "api", "auth", "bearer", "credential"),
     "phone": ("phone", "call", "tel", "telephone", "mobile", "fax", "telefon", "teléfono", "téléphone"),
 }
-AGAINST = ("version", "isbn", "order", "invoice", "serial", "section", "chapter", "ref")
+AGAINST = ("version", "isbn", "order", "invoice", "serial", "section", "chapter", "ref", "commit", "checksum", "hash", "md5", "sha")
 MAIL_HOSTS = ("gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "example.com", "example.org", "example.net")
+HOST_ENDINGS = ("com", "org", "net", "de", "fr", "es", "edu", "gov", "io", "info", "uk", "it")
+COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "98", "35", "37", "38", "42")
+KEY_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "sk-", "sk_", "pk_", "xoxb-", "xoxp-", "AIza", "eyJ", "glpat-")
+KEY_LENGTHS = (32, 40, 64, 128)
 ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "35", "36", "38", "2")
 
 
@@ -122,23 +132,37 @@ def _wider(text: str, kind: str) -> Iterator[tuple[int, int]]:
     if kind == "email":
         if not _SPELLED.search(text):
             return
+        last = 0
         for m in _WORDY_AT.finditer(text):
-            before = _WORDY_LOCAL.search(text, max(0, m.start() - 64), m.start())
-            after = _WORDY_DOMAIN.match(text, m.end())
-            if before and after:
-                yield before.start(), after.end()
+            start = m.start()
+            while start > last and text[start - 1] in _LOCAL:
+                start -= 1
+            after = _WORDY_DOMAIN.match(text, m.end()) if start < m.start() else None
+            if after:
+                last = after.end()
+                yield start, last
     elif kind == "ip":
+        for run in _DOTTED.finditer(text):
+            if run.end() - run.start() > 6 and run.group().count(".") == 3:
+                yield run.span()
         if ":" in text:
             yield from (m.span() for m in _IPV6.finditer(text))
     elif kind == "card":
-        yield from cards(text, 13, 15)
-    else:
+        for run in _DIGITS.finditer(text):
+            if run.end() - run.start() > 12 and 13 <= sum(c.isdigit() for c in run.group()) <= 19:
+                yield run.span()
+    elif kind == "phone":
         yield from (m.span() for m in _LOCAL_PHONE.finditer(text))
+    else:
+        for m in _MIXED.finditer(text):
+            own = m.group()
+            if not own.isalpha() and any("0" <= c <= "9" for c in own) and any(c.isalpha() for c in own):
+                yield m.span()
 
 
 def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
     """``(kind, start, end, base)`` by kind, then start; wider ones touch no base match of any kind."""
-    base = {k: list(BASE[k](text)) for k in KINDS}
+    base = {k: list(BASE[k](text)) if k in BASE else [] for k in KINDS}
     taken = sorted(s for own in base.values() for s in own)
     starts = [a for a, _ in taken]
     highest: list[int] = []  # the furthest end so far
@@ -157,55 +181,81 @@ def candidates(text: str) -> Iterator[tuple[str, int, int, bool]]:
                 last = max(last, b)
 
 
-def votes_and_features(text: str, kind: str, start: int, end: int, base: bool) -> tuple[int, int]:
+class Context:
+    """The words of a text, found once, by their place."""
+
+    def __init__(self, text: str):
+        self.spans = [m.span() for m in _WORD.finditer(text)]
+        self.ends = [b for _, b in self.spans]
+        self.text = text
+
+    def before(self, start: int, count: int = 4) -> list[str]:
+        """The last lower-case words that end at ``start`` or before."""
+        at = bisect_right(self.ends, start)
+        return [self.text[a:b].lower() for a, b in self.spans[max(0, at - count) : at]]
+
+
+def votes_and_features(context: Context, kind: str, start: int, end: int, base: bool) -> tuple[int, int]:
     """Votes (0 abstain, 1 no, 2 yes) in base three, and binary shape features."""
+    text = context.text
     span = text[start:end]
     digits = "".join(c for c in span if "0" <= c <= "9")
-    near = text[max(0, start - 40) : start].lower()
-    words = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", near)[-4:]
-    after = text[end : end + 1]
+    words = context.before(start)
+    before, after = text[start - 1 : start] if start else "", text[end : end + 1]
+    edges = not (before.isalnum() or before in ("-", "_", "/")) and not (after.isalnum() or after in ("_", "/"))
+    pattern = base
     if kind == "email":
-        host = span.rpartition("@")[2].lower()
-        gazetteer = 2 if host.endswith(MAIL_HOSTS) or host.rpartition(".")[2] in ("com", "org", "net", "de", "fr", "es", "edu") else 0
-        shape = 2 if "@" in span else 0
+        local, _, host = span.rpartition("@")
+        gazetteer = host.lower().endswith(MAIL_HOSTS) or (host or span).lower().rpartition(".")[2] in HOST_ENDINGS
+        shape = 0 < len(local) <= 64 and local[0] != "." and local[-1] != "." and ".." not in span
     elif kind == "ip":
-        gazetteer = 2 if ":" in span or span.split(".")[0].lstrip("0") not in ("", "127") else 1
-        shape = 2 if ":" in span or all(p == "0" or not p.startswith("0") for p in span.split(".")) else 1
+        parts = span.split(".")
+        gazetteer = ":" in span or parts[0].lstrip("0") not in ("", "10", "127", "255")
+        shape = ":" in span or all(p == "0" or not p.startswith("0") and len(p) < 4 for p in parts)
     elif kind == "card":
-        gazetteer = 2 if digits.startswith(ISSUERS) else 1
-        shape = 2 if len(digits) in (15, 16) else 0
+        pattern = luhn(digits)
+        gazetteer = digits.startswith(ISSUERS)
+        shape = len(digits) in (15, 16)
+    elif kind == "phone":
+        gazetteer = span[0] == "+" and digits.startswith(COUNTRY_CODES)
+        shape = 10 <= len(digits) <= 13
     else:
-        gazetteer = 2 if span[0] == "+" and digits[:1] != "0" else 0
-        shape = 2 if 10 <= len(digits) <= 13 else 0
-    edges = (start == 0 or not (text[start - 1].isalnum() or text[start - 1] in "-_/")) and not (after.isalnum() or after in ("_", "/"))
+        pattern = _HEX.fullmatch(span) is not None or len(digits) * 8 >= len(span)
+        gazetteer = span.startswith(KEY_STARTS) or len(span) in KEY_LENGTHS
+        shape = len(set(span)) >= 10
+        edges = edges and (before in ("", "'", '"', "=", ":") or before.isspace())
     votes = (
-        2 if base else 0,
-        gazetteer,
+        2 if pattern else 1,
+        2 if gazetteer else 1,
         2 if any(w in CONTEXT[kind] for w in words) else 0,
         1 if any(w in AGAINST for w in words) else 0,
         2 if edges else 1,
-        shape,
+        2 if shape else 1,
     )
-    features = (base, gazetteer == 2, shape == 2, edges, len(span) > 12, len(digits) > 9, any(c in span for c in " ()-"), bool(words) and words[-1] in CONTEXT[kind])
+    features = (pattern, gazetteer, shape, edges, len(span) > 12, len(digits) > 9, any(c in span for c in " ()-"), bool(words) and words[-1] in CONTEXT[kind])
     return sum(v * 3**i for i, v in enumerate(votes)), sum(1 << i for i, f in enumerate(features) if f)
 
 
-def reliabilities(counts: dict[int, float], rounds: int = 50) -> tuple[dict[int, float], np.ndarray, float]:
-    """Expectation maximisation over vote patterns: each pattern's probability, each labeler's accuracy, the prior."""
+def reliabilities(counts: dict[int, float], rounds: int = 100) -> tuple[dict[int, float], np.ndarray, float]:
+    """Expectation maximisation over vote patterns.
+
+    Gives each pattern's probability; for each labeler how often it says yes to
+    true and to false candidates, where it votes; and the share of true ones.
+    """
     patterns = sorted(counts)
     n = np.array([counts[p] for p in patterns], float)
     votes = np.array([[p // 3**i % 3 for i in range(LABELERS)] for p in patterns])
     yes, no = votes == 2, votes == 1
-    accuracy, prior = np.full(LABELERS, 0.8), 0.5
-    p = np.full(len(patterns), 0.5)
+    says = np.array([np.full(LABELERS, 0.8), np.full(LABELERS, 0.2)])  # a labeler is better than chance until shown
+    p, prior = np.full(len(patterns), 0.5), 0.5
     for _ in range(rounds):
-        weight = np.log(accuracy / (1 - accuracy))
-        p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (yes * weight).sum(1) - (no * weight).sum(1))))
-        prior = float(np.clip((n * p).sum() / n.sum(), 0.05, 0.95))
-        right = (n[:, None] * (yes * p[:, None] + no * (1 - p[:, None]))).sum(0)
-        cast = (n[:, None] * (yes | no)).sum(0)
-        accuracy = np.clip((right + 8) / (cast + 10), 0.55, 0.99)  # a labeler is better than chance until shown
-    return dict(zip(patterns, p.tolist())), accuracy, prior
+        odds = np.log(prior / (1 - prior)) + yes @ np.log(says[0] / says[1]) + no @ np.log((1 - says[0]) / (1 - says[1]))
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        prior = float(np.clip((n * p).sum() / n.sum(), 0.02, 0.98))
+        for k, weight in enumerate((n * p, n * (1 - p))):
+            said, voted = (weight[:, None] * yes).sum(0), (weight[:, None] * (yes | no)).sum(0)
+            says[k] = np.clip((said + (8, 2)[k]) / (voted + 10), 0.01, 0.99)
+    return dict(zip(patterns, p.tolist())), says, prior
 
 
 def span_classifier(features: np.ndarray, targets: np.ndarray, weights: np.ndarray, rounds: int = 300) -> np.ndarray:
@@ -234,8 +284,10 @@ def fit(docs: DataFrame, text_column: str = "text") -> dict[str, np.ndarray]:
         counts: dict[tuple[str, int, int], int] = {}
         for part in small_slices(batches):
             for text in part.column(0).to_pylist():
-                for kind, a, b, base in candidates(text):
-                    key = (kind, *votes_and_features(text, kind, a, b, base))
+                found = list(candidates(text))
+                context = Context(text) if found else None
+                for kind, a, b, base in found:
+                    key = (kind, *votes_and_features(context, kind, a, b, base))
                     counts[key] = counts.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()), pa.array([k[2] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["kind", "votes", "features", "n"])
 
@@ -254,12 +306,15 @@ def fit(docs: DataFrame, text_column: str = "text") -> dict[str, np.ndarray]:
 
 def spans_of(text: str, models: dict[str, np.ndarray], add_at: float = ADD_AT) -> list[tuple[str, int, int, bool]]:
     """All spans: base matches, and candidates that the classifier accepts."""
-    out = []
+    out, context = [], None
     for kind, a, b, base in candidates(text):
         if not base:
             w = models.get(kind)
-            features = _bits(votes_and_features(text, kind, a, b, base)[1])
-            if w is None or 1 / (1 + np.exp(-float(np.dot(w[:-1], features) + w[-1]))) < add_at:
+            if w is None:
+                continue
+            context = context or Context(text)
+            features = _bits(votes_and_features(context, kind, a, b, base)[1])
+            if 1 / (1 + np.exp(-float(np.dot(w[:-1], features) + w[-1]))) < add_at:
                 continue
         out.append((kind, a, b, base))
     return out

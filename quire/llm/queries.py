@@ -42,13 +42,19 @@ def _is_kind(kind: str) -> Callable[[F.Column], F.Column]:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, find_pii
+    from .pii import find_pii
+
+    return pii_digest(find_pii(table(spark, sf_dir, "documents")))
+
+
+def pii_digest(found: DataFrame) -> DataFrame:
+    """The contract's columns of found spans, and the number of spans that the method added."""
+    from .pii import BASE_KINDS
 
-    found = find_pii(table(spark, sf_dir, "documents"))
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("found", lambda s: s["base"])  # what the counts and the digest cover
-    counts = [F.size(F.array_compact(F.transform(base, _is_kind(k)))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"))
+    counts = [F.size(F.array_compact(F.transform(base, _is_kind(k)))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("found")).alias("spans"), (F.size("found") - F.size(base)).cast("long").alias("n_added"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

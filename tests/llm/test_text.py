@@ -1,5 +1,6 @@
 """Operators 1, 4 and 10, the SQL oracles and the pipeline."""
 
+import hashlib
 import re
 import zlib
 
@@ -11,7 +12,7 @@ from cases import awkward, clashing, listed
 from test_queries import TABLES, rows as plain_rows
 
 from quire.llm import queries as Q
-from quire.llm.pii import KINDS, find_pii, luhn, redact, redact_pii, reliabilities, spans_of
+from quire.llm.pii import KINDS, Context, candidates, find_pii, luhn, redact, redact_pii, reliabilities, spans_of, votes_and_features
 from quire.llm.toxicity import Channel, Scorer, log_model, logistic, score_toxicity, spaced_runs, trigram_counts
 from quire.llm.url_filter import judge_urls, match_rules
 
@@ -98,8 +99,42 @@ def test_reliabilities_find_the_better_labeler():
         votes = [(2 if truth else 1) if rng.random() < a else (1 if truth else 2) for a in (0.95, 0.9, 0.6, 0.9, 0.6, 0.6)]
         key = sum(v * 3**i for i, v in enumerate(votes))
         counts[key] = counts.get(key, 0) + 1
-    _, accuracy, prior = reliabilities(counts)
-    assert accuracy[[0, 1, 3]].min() > 0.85 > 0.7 > accuracy[[2, 4, 5]].max() and 0.4 < prior < 0.6
+    _, says, prior = reliabilities(counts)
+    gap = says[0] - says[1]  # how much likelier a yes is on a true candidate
+    assert gap[[0, 1, 3]].min() > 0.65 > 0.4 > gap[[2, 4, 5]].max() and 0.4 < prior < 0.6
+
+
+def test_labelers_disagree():
+    of = lambda text, kind, base=False: [votes_and_features(Context(text), k, a, b, c) for k, a, b, c in candidates(text) if k == kind and c == base]
+    card = of("pay by card 4111111111111112 or 9999999999999999, order 4111111111111112x", "card")
+    assert len({v for v, _ in card}) == 3
+    votes = [v // 3**i % 3 for i in range(6) for v in [card[0][0]]]
+    assert votes == [1, 2, 2, 0, 2, 2]
+    assert of("token = " + "x" * 5 + " " * 500 + "0123456789abcdef0123456789abcdef", "secret")[0][0] // 9 % 3 == 2  # context has no window of characters
+    text = f"write to {'a' * 200}.b (at) {'.'.join(['mail'] * 9)} dot org"
+    (kind, start, end, base), = candidates(text)
+    assert (kind, text[start:end], base) == ("email", text[9:], False)
+    assert [k for k, *_ in candidates("commit " + "a1" * 20 + " 10.1.2.300 (366) 555-9807")] == ["ip", "phone", "secret"]
+
+
+def test_digest_columns(spark):
+    texts = PII * 3 + [f'key = "{k:032x}"' for k in range(10**36, 10**36 + 40)] + [None]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in Q.pii_digest(find_pii(frame)).collect():
+        base = slow_spans(texts[r.doc_id] or "")
+        told = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+        spans = [s for s in r.spans.split(",") if s]
+        assert set(told.split(",")) - {""} <= set(spans) and r.n_added == len(spans) - len(base)
+        assert [KINDS.index(s.split(":")[0]) for s in spans] == sorted(KINDS.index(s.split(":")[0]) for s in spans)
+        if r.doc_id >= len(PII) * 3 and r.doc_id < len(texts) - 1:
+            assert spans == [f"secret:7:{len(texts[r.doc_id]) - 1}"]
+
+
+def test_spans_are_added_on_the_tables(spark):
+    out = Q.op4_pii(spark, "/root/testdata/sf0.01").agg({"n_added": "sum"}).first()[0]
+    assert out > 0
 
 
 PROSE = "the idiot and the moron are not a pathetic clown, a loser is trash and scum; stupid sit still at a mill"
