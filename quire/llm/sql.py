@@ -33,7 +33,7 @@ FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
 """
 
 URL_FILTERS = r"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, coalesce(CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END, '') AS rest FROM pages
 ), own AS (
   SELECT page_id, rest, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -45,31 +45,26 @@ WITH p AS (
          regexp_extract(path, '\.([A-Za-z0-9]{1,8})$', 1) AS ending, regexp_extract(rest, '\?([^#]*)', 1) AS query
   FROM own
 ), tokened AS (
-  SELECT page_id, host, path, list_sort(list_distinct(list_filter([
-    CASE WHEN host <> '' THEN 'h1=' || labels[1] END,
-    CASE WHEN len(labels) >= 2 THEN 'h2=' || labels[2] || '.' || labels[1] END,
-    CASE WHEN len(labels) >= 3 THEN 'h3=' || labels[3] || '.' || labels[2] || '.' || labels[1] END,
-    CASE WHEN len(labels) > 3 THEN 'host=' || host END,
-    CASE WHEN len(parts) >= 1 THEN 'p1=' || parts[1] END,
-    CASE WHEN len(parts) >= 2 THEN 'p2=' || parts[2] END,
-    CASE WHEN len(parts) >= 3 THEN 'p3=' || parts[3] END,
-    CASE WHEN len(parts) > 3 THEN 'deep' END,
-    CASE WHEN ending <> '' THEN 'x=' || translate(ending, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END,
-    CASE WHEN query <> '' THEN 'q=' || array_to_string(list_sort(list_distinct(list_transform(string_split(query, '&'), lambda x: regexp_extract(x, '^([^=]*)', 1)))), '&') END
-  ], lambda x: x IS NOT NULL))) AS tokens
+  SELECT page_id, host, path, list_sort(list_distinct(list_filter(list_concat(list_concat(
+    CASE WHEN host <> '' THEN list_transform(range(1, len(labels) + 1), lambda n: 'h' || n || '=' || array_to_string(list_reverse(labels[1:n]), '.')) ELSE [] END,
+    list_transform(range(1, len(parts) + 1), lambda i: 'p' || i || '=' || parts[i])),
+    [CASE WHEN ending <> '' THEN 'x=' || translate(ending, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END,
+     CASE WHEN query <> '' THEN 'q=' || array_to_string(list_sort(list_distinct(list_transform(string_split(query, '&'), lambda x: regexp_extract(x, '^([^=]*)', 1)))), '&') END]
+  ), lambda x: x IS NOT NULL))) AS tokens
   FROM cut
 ), bad AS (
   SELECT doc_id, bool_or(coalesce(quality = 0, false) OR coalesce(toxic = 1, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 ), t AS (
   SELECT row_number() OVER () AS id, tokens, bad FROM tokened JOIN bad ON try_cast(regexp_extract(path, '/([0-9]{1,18})(?:[/.]|$)', 1) AS BIGINT) = doc_id WHERE len(tokens) > 0 OR bad
-), one AS (SELECT id, bad, unnest(tokens) AS a FROM t),
+), least AS (SELECT ceil(0.02::DOUBLE * count(*)) AS n FROM t),
+frequent AS (SELECT a FROM (SELECT bad, unnest(tokens) AS a FROM t) GROUP BY a HAVING count(*) FILTER (bad) >= (SELECT n FROM least)),
+one AS (SELECT id, bad, a FROM (SELECT id, bad, unnest(tokens) AS a FROM t) SEMI JOIN frequent USING (a)),
 sets AS (
-  SELECT id, bad, [a] AS rule FROM one
-  UNION ALL SELECT x.id, x.bad, [x.a, y.a] FROM one x JOIN one y ON x.id = y.id AND x.a < y.a
-  UNION ALL SELECT x.id, x.bad, [x.a, y.a, z.a] FROM one x JOIN one y ON x.id = y.id AND x.a < y.a JOIN one z ON x.id = z.id AND y.a < z.a
+  SELECT id, bad, a, [a] AS rule FROM one
+  UNION ALL SELECT s.id, s.bad, o.a, list_append(s.rule, o.a) FROM sets s JOIN one o ON s.id = o.id AND o.a > s.a
 ), rules AS (
   SELECT rule, count(*) FILTER (bad) / count(*)::DOUBLE AS confidence FROM sets GROUP BY rule
-  HAVING count(*) FILTER (bad) >= 5 AND count(*) FILTER (bad) >= ceil(0.005::DOUBLE * (SELECT count(*) FROM t)) AND count(*) FILTER (bad) / count(*)::DOUBLE >= 0.6::DOUBLE AND count(*) FILTER (bad) > 0
+  HAVING count(*) FILTER (bad) >= (SELECT n FROM least) AND count(*) FILTER (bad) > 0 AND count(*) FILTER (bad) / count(*)::DOUBLE >= 0.6::DOUBLE
 ), listed(kind, own_host, own_path) AS (
   VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
 ), judged AS (

@@ -1,20 +1,23 @@
 """Operators 1, 4 and 10, the SQL oracles and the pipeline."""
 
 import hashlib
+import math
 import re
 import zlib
+from itertools import combinations
 
 import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 from cases import awkward, clashing, listed
 from test_queries import TABLES, rows as plain_rows
 
 from quire.llm import queries as Q
 from quire.llm.pii import KINDS, Context, candidates, find_pii, luhn, redact, redact_pii, reliabilities, spans_of, votes_and_features
 from quire.llm.toxicity import Channel, Scorer, log_model, logistic, score_toxicity, spaced_runs, trigram_counts
-from quire.llm.url_filter import judge_urls, match_rules
+from quire.llm.url_filter import host_of, judge_urls, match_rules, mine_rules, path_of, tokens_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,9 +51,54 @@ def test_mined_rules_block(spark):
     labels = [(i, int(i % 4 != 0), None if i % 3 else 0) for i in range(0, 200)]
     out = judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels + labels[:9] + [(None, 0, 1)], "doc_id long, quality int, toxic int")).collect()
     assert {r.page_id for r in out if r.verdict == "block"} == {i for i in range(400) if i % 4 == 0} and len(out) == 400
-    sets = spark.createDataFrame([(["a", "b", "c"],), (["a"],), ([],)], "tokens array<string>")
-    rules = spark.createDataFrame([(["b", "a"], 0.7), (["c"], 0.9), (["a", "d"], 1.0)], "antecedent array<string>, confidence double")
-    assert [(r.tokens, r.confidence) for r in match_rules(sets, rules).collect()] == [(["a", "b", "c"], 0.9)]
+    sets = spark.createDataFrame([(["a", "b", "c"],), (["a"],), (["b2", "a"],), ([],)], "tokens array<string>")
+    items = spark.createDataFrame([("a", "a"), ("b", "b"), ("b2", "b"), ("c", "c"), ("d", "d")], "token string, item string")
+    rules = spark.createDataFrame([(["a", "b"], 0.7), (["c"], 0.9), (["a", "d"], 1.0)], "rule array<string>, confidence double")
+    assert {(tuple(r.tokens), r.confidence) for r in match_rules(sets, items, rules).collect()} == {(("a", "b", "c"), 0.9), (("b2", "a"), 0.7)}
+
+
+def slow_rules(rows, min_support, min_confidence):
+    """Every combination of tokens, one after the other."""
+    least = math.ceil(min_support * len(rows))
+    out = {}
+    for tokens, _ in rows:
+        for size in range(1, len(tokens) + 1):
+            for rule in combinations(sorted(tokens), size):
+                if rule not in out:
+                    hit = [b for t, b in rows if set(rule) <= set(t)]
+                    out[rule] = sum(hit) / len(hit) if sum(hit) >= least and sum(hit) / len(hit) >= min_confidence else None
+    return {r: c for r, c in out.items() if c is not None}
+
+
+def test_rules_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(60):  # only all five together are bad
+        tokens = [f"t{k}" for k in range(5) if rng.random() < 0.8]
+        rows.append((tokens + [f"u{int(rng.integers(0, 3))}"], len(tokens) == 5))
+    rows += [(["deep"] + [f"p{k}=x" for k in range(40)], True)] * 6  # one long shared path is one item
+    rows += [(["t0", "t1", "t2", "t3"], False)] * 30
+    frame = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    items, rules = mine_rules(frame, 0.03, 0.6)
+    assert len({r.item for r in items.collect() if r.token.startswith("p")}) == 1
+    short = [(t, b) for t, b in rows if "deep" not in t]
+    slow = slow_rules(short + [(["deep"], True)] * 6, 0.03, 0.6)
+    asked = [sorted(set(t)) for t, _ in rows] + [["p7=x", "u0"], ["t0", "t1", "t2", "t3", "t4"], ["p9"]]
+    expected = {}
+    for t in asked:
+        own = [c for r, c in slow.items() if set(r) <= set(t) | ({"deep"} if any(x.startswith("p") and "=" in x for x in t) else set())]
+        if own:
+            expected[tuple(t)] = max(own)
+    assert any(len(r) > 3 for r in slow)
+    got = match_rules(spark.createDataFrame([(t,) for t in asked], "tokens array<string>").distinct(), items, rules)
+    assert {tuple(r.tokens): round(r.confidence, 9) for r in got.collect()} == {t: round(c, 9) for t, c in expected.items()}
+
+
+def test_every_segment_is_a_token(spark):
+    url = "http://a.b.c.example.com/x/y/z/deep/way/down/12.html?b=1&a=2"
+    frame = spark.createDataFrame([(url,)], "u string").select(tokens_of(F.col("u"), host_of(F.col("u")), path_of(F.col("u"))).alias("t"))
+    own = frame.first().t
+    assert {"h1=com", "h4=b.c.example.com", "h5=a.b.c.example.com"} < set(own) and {"p1=x", "p4=deep", "p6=down", "p7=0.html", "x=html", "q=a&b"} < set(own) and len(own) == 14
 
 
 def slow_spans(text):
