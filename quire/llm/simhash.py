@@ -138,15 +138,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, segments: int = SEGME
 
 
 def ranked_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``__row``, ``__text`` and ``__rank`` of each row; nulls rank last among ids, rows of one id by text hash."""
-    return docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_column).alias("__text"), F.struct(F.col(id_column).isNull().alias("n"), F.coalesce(F.col(id_column).cast("long"), F.lit(0)).alias("i"), F.xxhash64(text_column).alias("t")).alias("__rank"))
+    """``__row``, ``__text``, ``__rank`` and ``__rest`` of each row.
+
+    Nulls, and ids that are no whole numbers, rank last; rows of one id by text
+    hash. ``__rest`` orders rows that are equal in both.
+    """
+    number = F.col(id_column).try_cast("long")
+    rank = F.struct(number.isNull().alias("n"), F.coalesce(number, F.lit(0)).alias("i"), F.xxhash64(text_column).alias("t"))
+    others = F.to_json(F.struct(*(c for c in docs.columns if c != text_column))) if len(docs.columns) > 1 else F.lit("")
+    return docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_column).alias("__text"), rank.alias("__rank"), others.alias("__rest"))
 
 
 def first_rows(rows: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
-    """The columns of one row for each rank in ``kept(least)``."""
-    # a kept rank may stand for repeated rows, of which one stays; the window takes the join's own order
-    chosen = rows.join(kept.select(F.col("least").alias("__rank")), "__rank").select("__row", "__rank")
-    once = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__rank").orderBy("__rank"))).where("__n = 1")
+    """The columns of one row for each rank in ``kept(least)``; of rows with one rank the first by all other columns."""
+    chosen = rows.join(kept.select(F.col("least").alias("__rank")), "__rank").select("__row", "__rank", "__rest")
+    once = chosen.withColumn("__n", F.row_number().over(Window.partitionBy("__rank").orderBy("__rest"))).where("__n = 1")
     return once.select(*(F.col(f"__row.`{c}`").alias(c) for c in names))
 
 

@@ -6,10 +6,10 @@ units the occurrence of the lowest rank (id, text hash, position) stays. Later
 occurrences are repeats; a run of adjacent repeated words that has at least
 ``min_words`` words goes, with its offsets in the original text retained.
 
-Passages that start or end inside sentences are found by windows of
-``min_words`` words, grouped with the units. Winnowing picks them by their
+Passages that start or end inside sentences are found by windows of ``SIZE``
+words, grouped with the units. Winnowing picks them by their
 content: of each ``PICK`` windows in a row the one of the lowest hash. So equal
-passages of ``min_words + PICK - 1`` words have an equal window, and at most
+passages of ``SIZE + PICK - 1`` words have an equal window, and at most
 ``PICK - 1`` words at each end lie outside the windows picked.
 
 Inside a task only the first occurrence of each digest in a bounded chunk of
@@ -27,10 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import NULL_ID, small_slices
 
+#: A run of repeated words goes from this length on; 1 removes every repeat.
 MIN_WORDS = 12
+#: Words of a window, and windows of which one is picked.
+SIZE = 12
 PICK = 8
 CHUNK_UNITS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,7 +63,7 @@ def unit_words(text: str) -> tuple[list[int], list[str], list[int]]:
     return ends, forms, counts
 
 
-def windows(text: str, size: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
+def windows(text: str, size: int = SIZE) -> tuple[list[int], list[bytes]]:
     """First words and digests of the windows of ``size`` words that winnowing picks."""
     words = text.lower().split()
     n = len(words) - size + 1
@@ -76,7 +80,7 @@ def windows(text: str, size: int = MIN_WORDS) -> tuple[list[int], list[bytes]]:
     return at, [xxhash.xxh3_128_digest(raw[8 * i : 8 * (i + size)], 1) for i in at]
 
 
-def cut_repeats(text: str, repeats: Iterable[int], min_words: int = MIN_WORDS, starts: Iterable[int] = ()) -> tuple[str, list[tuple[int, int]]]:
+def cut_repeats(text: str, repeats: Iterable[int], min_words: int = MIN_WORDS, starts: Iterable[int] = (), size: int = SIZE) -> tuple[str, list[tuple[int, int]]]:
     """The text without long runs of repeated words, and the spans removed.
 
     ``repeats`` are units, ``starts`` the first words of windows. Beside a run of
@@ -101,8 +105,8 @@ def cut_repeats(text: str, repeats: Iterable[int], min_words: int = MIN_WORDS, s
     marked = set(starts)
     words = text.lower().split() if marked else []
     for p in marked:
-        a = next((q + min_words for q in range(max(0, p - min_words + 1), p) if q not in marked and words[q] == words[p] and words[q : q + min_words] == words[p : p + min_words]), p)
-        gone[a : p + min_words] = True
+        a = next((q + size for q in range(max(0, p - size + 1), p) if q not in marked and words[q] == words[p] and words[q : q + size] == words[p : p + size]), p)
+        gone[a : p + size] = True
     long = np.zeros(len(spots), bool)
     for i, j in runs(whole):
         long[i:j] = True
@@ -117,7 +121,7 @@ def cut_repeats(text: str, repeats: Iterable[int], min_words: int = MIN_WORDS, s
     return "".join(kept), spans
 
 
-def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS, size: int = MIN_WORDS) -> DataFrame:
+def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS, size: int = SIZE) -> DataFrame:
     """``(rank, key, pos)`` of every unit or window that has an earlier equal one; input columns ``rank, key, text``.
 
     Windows are numbered by their first word, after the units of their text.
@@ -171,14 +175,14 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
     """All columns of ``docs`` with cut texts, and ``removed_spans`` and ``removed_chars``.
 
     ``removed_spans`` lists ``start:end`` in code points of the original text,
-    comma-joined and in order (empty: nothing removed). Rows are ranked by id
-    (null last), then by text hash: rows equal in both are one document and come
-    out alike. A null text stays null. No row is dropped, not even one whose text
+    comma-joined and in order (empty: nothing removed). Rows are ranked by id (null
+    last, and any that is no whole number), then by text hash: rows equal in both
+    are one document and come out alike. A null text stays null. No row is dropped, not even one whose text
     becomes empty. Existing columns of the two new names are replaced.
     """
     names = [c for c in docs.columns if c not in ("removed_spans", "removed_chars")]
-    row = docs.select(F.struct(*names).alias("__row"), F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("rank"), F.xxhash64(F.col(text_column)).alias("key"), F.col(text_column).cast("string").alias("text"))
-    cut = repeated_units(row, size=min_words).groupBy("rank", "key").agg(F.collect_set("pos").alias("__pos"))
+    row = docs.select(F.struct(*names).alias("__row"), F.coalesce(F.col(id_column).try_cast("long"), F.lit(NULL_ID)).alias("rank"), F.xxhash64(F.col(text_column)).alias("key"), F.col(text_column).cast("string").alias("text"))
+    cut = repeated_units(row).groupBy("rank", "key").agg(F.collect_set("pos").alias("__pos"))
     joined = row.join(cut, ["rank", "key"], "left").select(*(F.col(f"__row.`{c}`").alias(c) for c in names), F.col("__pos"))
     at = names.index(text_column)
 
@@ -197,5 +201,13 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str =
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.string()), pa.array(chars, pa.int64())], names=[*names, "removed_spans", "removed_chars"])
 
-    schema = "".join(f"`{c}` {'string' if c == text_column else docs.schema[c].dataType.simpleString()}, " for c in names)
-    return joined.mapInArrow(run, schema + "removed_spans string, removed_chars long")
+    schema = StructType([*(StructField(c, StringType()) if c == text_column else docs.schema[c] for c in names), StructField("removed_spans", StringType()), StructField("removed_chars", LongType())])
+    return joined.mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with cut texts, all other columns as they are whatever their names."""
+    others = [c for c in docs.columns if c not in (id_column, text_column)]
+    rows = docs.select(F.col(id_column), F.col(text_column), *([F.struct(*others).alias("__others")] if others else []))
+    cut = remove_repeats(rows, min_words, id_column, text_column)
+    return cut.select(*(F.col(c) if c in (id_column, text_column) else F.col(f"__others.`{c}`").alias(c) for c in docs.columns))

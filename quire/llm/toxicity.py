@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import small_slices, texts_or_empty
 
@@ -423,6 +424,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
         for part in small_slices(batches):
             yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([score(t) for t in part.column(0).to_pylist()], pa.float64())], names=[*keep, "__score"])
 
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + "__score double"
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("__score", DoubleType())])
     scored = docs.select(texts_or_empty(text_column).alias("__text"), *keep).mapInArrow(run, schema)
     return scored.select(*keep, held_out(id_column).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_civil(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all columns whatever their names."""
+    rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"), F.struct(*docs.columns).alias("__row"))
+    scored = score_toxicity(rows, labels.withColumnRenamed(id_column, "__id"), "__id", "__text", keep=["__id", "__row"])
+    return scored.where("predicted = 0").select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))

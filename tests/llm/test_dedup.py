@@ -1,6 +1,7 @@
 """Operators 3, 6, 7 and 9 against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -155,6 +156,60 @@ def slow_repeats(rows, min_words):
     return out
 
 
+def test_every_repeat_goes_without_a_minimum(spark):
+    rows = [(1, "One.\nTwo words. Three words here\nOne."), (2, "ONE.\nFour. Two  words."), (3, "Five"), (None, "five"), (4, "Six seven")]
+    out = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=1).collect()}
+    assert {i: (r.text, r.removed_spans) for i, r in out.items()} == {
+        1: ("One.\nTwo words. Three words here\n", "33:37"), 2: ("Four. ", "0:5,11:22"), 3: ("Five", ""), None: ("", "0:4"), 4: ("Six seven", "")
+    }
+    texts = remove_repeats(spark.createDataFrame([("a", "same " * 20), ("b", "same " * 20)], "doc_id string, text string")).collect()
+    assert len(texts) == 2
+
+
+def slow_cut(rows, min_words):
+    """Repeats by their words alone, written apart from the operator: lines cut after sentence ends."""
+    seen, out = set(), {}
+    for i, text in rows:
+        gone, run = [], []
+        at = 0
+        for unit in re.findall(r"[^\n]*?[.!?]\s|[^\n]*\n|[^\n]+$", text):
+            form = tuple(unit.lower().split())
+            if form and form in seen:
+                run.append((at, at + len(unit), len(form)))
+            else:
+                gone.append(run) if run else None
+                run = []
+                seen.add(form)
+            at += len(unit)
+        gone.append(run) if run else None
+        out[i] = ",".join(f"{r[0][0]}:{r[-1][1]}" for r in gone if sum(x[2] for x in r) >= min_words)
+    return out
+
+
+@pytest.mark.parametrize("min_words", [1, 6, 12])
+def test_units_against_an_independent_cut(spark, min_words):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(5))
+    pool = [" ".join(word() for _ in range(rng.randint(1, 8))) + "." for _ in range(40)]
+    rows = [(i, "".join((rng.choice(pool) if rng.random() < 0.4 else " ".join(word() for _ in range(5)) + "!") + rng.choice([" ", "\n"]) for _ in range(15))) for i in range(40)]
+    import quire.llm.substring as S
+
+    whole = S.windows
+    try:
+        S.windows = lambda text, size=12: ([], [])  # units alone
+        spans = {i: None for i, _ in rows}
+        units = {}
+        seen = set()
+        for i, text in rows:
+            _, forms, counts = S.unit_words(text)
+            again = [k for k, (f, n) in enumerate(zip(forms, counts)) if n and (f in seen or seen.add(f))]
+            units[i] = again
+            spans[i] = ",".join(f"{a}:{b}" for a, b in S.cut_repeats(text, again, min_words)[1])
+    finally:
+        S.windows = whole
+    assert spans == slow_cut(rows, min_words)
+
+
 def test_substring_dedup(spark):
     rng = random.Random(9)
     sentence = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(rng.randint(2, 9))).capitalize() + rng.choice([".", "!", "?"])

@@ -295,6 +295,7 @@ def test_pipeline(spark):
     for i, t in texts.items():
         expected[i] = len(library.encode(t or "", add_special_tokens=False).ids) + 1
     packed = C.run(spark, SF).collect()
+    assert len({f.split("/")[-2] for f in C.run(spark, SF).inputFiles()}) == 1
     got = {}
     for r in packed:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
@@ -302,6 +303,34 @@ def test_pipeline(spark):
     assert C.ORACLE_SQL is None and [n for n, _ in C.STAGES][0] == "toxicity"
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as C
+
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ["predicted", "score", "held_out", "__score", "removed_spans", "removed_chars", "__row", "__rest", "__others", "__rank", "__id", "rank", "a b"]
+    frame = clashing(awkward(spark)).select("*", *(F.lit("kept").alias(n) for n in names if n not in clashing(awkward(spark)).columns))
+    frame = frame.withColumn("removed_spans", F.lit("kept")).withColumn("predicted", F.lit("kept"))
+    ids = {str(r.doc_id) for r in frame.collect()}
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == frame.columns, name
+        rows = out.collect()
+        assert len(rows) >= 6 and {str(r.doc_id) for r in rows} <= ids, name
+        assert all(r[n] == "kept" for r in rows for n in ("predicted", "removed_spans", "removed_chars", "__row", "a b")), name
+        assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+
+
+def test_ties_of_near_dedup_are_settled(spark):
+    from quire.llm.jaccard import drop_similar
+    from quire.llm.simhash import drop_near_duplicates
+
+    rows = [(1, "one text of two rows here", f"s{k}") for k in range(6)]
+    for op in (drop_similar, drop_near_duplicates):
+        for order in (rows, rows[::-1]):
+            assert [r.source for r in op(spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)).collect()] == ["s0"]
+        assert op(spark.createDataFrame([("x", "a"), ("y", "b")], "doc_id string, text string")).count() == 2
+
+
 def test_awkward_rows_through_the_stages(spark, tmp_path):
     import corpus_pipeline as C
 
