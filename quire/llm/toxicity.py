@@ -431,6 +431,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
 
 def keep_civil(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all columns whatever their names."""
-    rows = docs.select(F.col(id_column).alias("__id"), F.col(text_column).alias("__text"), F.struct(*docs.columns).alias("__row"))
-    scored = score_toxicity(rows, labels.withColumnRenamed(id_column, "__id"), "__id", "__text", keep=["__id", "__row"])
+    rows = docs.select(id_column, text_column, F.struct(*docs.columns).alias("__row"))
+    scored = score_toxicity(rows, labels, id_column, text_column, keep=[id_column, "__row"])
     return scored.where("predicted = 0").select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
