@@ -139,12 +139,14 @@ def repeated_units(docs: DataFrame, chunk_units: int = CHUNK_UNITS, size: int =
             key = np.repeat(np.array([p[2] for p in parts], "i8"), sizes)
             pos = np.concatenate([p[3] for p in parts]).astype("i4")
             order = np.lexsort((pos, key, rank, h2, h1))
-            h1, h2, rank, key, pos = h1[order], h2[order], rank[order], key[order], pos[order]
-            fresh = np.ones(len(h1), bool)  # a repeated row is the same occurrence
-            fresh[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (rank[1:] != rank[:-1]) | (key[1:] != key[:-1]) | (pos[1:] != pos[:-1])
-            h1, h2, rank, key, pos = h1[fresh], h2[fresh], rank[fresh], key[fresh], pos[fresh]
-            again = np.zeros(len(h1), bool)
-            again[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
+            differs = lambda *columns: np.r_[True, np.any([x[order][1:] != x[order][:-1] for x in columns], axis=0)]
+            fresh, again = np.zeros((2, len(order)), bool)
+            fresh[order] = differs(h1, h2, rank, key, pos)  # a repeated row is the same occurrence
+            first = differs(h1, h2)
+            same = fresh[order] & ~first
+            again[order] = same
+            # in the order of the rows: neighbours of one document pack well in the shuffle
+            h1, h2, rank, key, pos, again = (x[fresh] for x in (h1, h2, rank, key, pos, again))
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1, h2, rank, key, pos, again)], names=["h1", "h2", "rank", "key", "pos", "again"])
 
         for batch in small_slices(batches):
