@@ -35,6 +35,8 @@ from .common import small_slices, texts_or_empty
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
+#: Tokens that each of a worker's tables holds; past that it is emptied.
+MEMO = 120_000
 #: A feature is learnt if its share of toxic documents reaches LEAST_SHARE when taken this many standard errors low.
 ERRORS = 2.0
 LEAST_SHARE = 0.3
@@ -226,7 +228,7 @@ def held_out(id_column: str) -> Column:
 class Restorer:
     """Restored words of texts; ``memo`` bounds the tables of known tokens and runs."""
 
-    def __init__(self, model: np.ndarray, memo: int = 400_000):
+    def __init__(self, model: np.ndarray, memo: int = MEMO):
         self.channel, self.memo_size = Channel(model), memo
         self.words: dict[str, str] = {}
         self.runs: dict[str, tuple[str, ...]] = {}
@@ -259,7 +261,7 @@ class Restorer:
 class Scorer:
     """Scores texts by the weights of features and an intercept."""
 
-    def __init__(self, model: np.ndarray, lexicon: dict[str, float], intercept: float, memo: int = 400_000):
+    def __init__(self, model: np.ndarray, lexicon: dict[str, float], intercept: float, memo: int = MEMO):
         self.restorer, self.lexicon, self.intercept, self.memo_size = Restorer(model, memo), lexicon, intercept, memo
         self.index: dict[str, list[str]] = {}
         for w in sorted(lexicon):
@@ -281,7 +283,7 @@ class Scorer:
         return {own[1]: own[0]} if own else {}
 
     def _look(self, token: str) -> tuple[dict[str, float], bool] | None:
-        words, bare = self._weighed(self.restorer.word(token).split()), token.strip(_EDGES)
+        words, bare = self._weighed(self.restorer.channel.restore(token).split()), token.strip(_EDGES)
         key = skeleton(bare)
         for text, own in ((bare, key), (token, skeleton(token))):  # a mark at an edge may be a letter too
             if not words and own in self.index:
