@@ -35,8 +35,8 @@ from .common import small_slices, texts_or_empty
 
 MAX_TRAIN = 20_000
 THRESHOLD = 0.3
-#: Tokens that each of a worker's tables holds; past that it is emptied.
-MEMO = 120_000
+#: Tokens that a worker's table holds; past that it is emptied.
+MEMO = 300_000
 #: A feature is learnt if its share of toxic documents reaches LEAST_SHARE when taken this many standard errors low.
 ERRORS = 2.0
 LEAST_SHARE = 0.3
@@ -197,9 +197,9 @@ def bare_length(token: str) -> int:
     return len(token.strip(_EDGES)) if len(token) > 1 else 1
 
 
-def spaced_runs(tokens: list[str]) -> Iterator[str]:
+def spaced_runs(tokens: list[str], singles: list[int] | None = None) -> Iterator[str]:
     """Runs of short tokens that hold two single characters or more, with the tokens beside them."""
-    singles = [i for i, t in enumerate(tokens) if len(t) < 8 and bare_length(t) == 1]
+    singles = [i for i, t in enumerate(tokens) if bare_length(t) == 1] if singles is None else singles
     at = 0
     while at < len(singles):
         first = last = singles[at]
@@ -213,7 +213,10 @@ def spaced_runs(tokens: list[str]) -> Iterator[str]:
 
 def skeleton(text: str) -> str:
     """What noise leaves alone: letters, look-alikes as one of theirs, without repetition."""
-    return _RUN.sub(r"\1", "".join(c for c in text.translate(_ALIKE) if c.isalpha()))
+    text = text.translate(_ALIKE)
+    if not text.isalpha():
+        text = "".join(filter(str.isalpha, text))
+    return _RUN.sub(r"\1", text)
 
 
 def features(word: str) -> list[str]:
@@ -228,7 +231,7 @@ def held_out(id_column: str) -> Column:
 class Restorer:
     """Restored words of texts; ``memo`` bounds the tables of known tokens and runs."""
 
-    def __init__(self, model: np.ndarray, memo: int = MEMO):
+    def __init__(self, model: np.ndarray, memo: int = MEMO // 3):
         self.channel, self.memo_size = Channel(model), memo
         self.words: dict[str, str] = {}
         self.runs: dict[str, tuple[str, ...]] = {}
@@ -243,10 +246,10 @@ class Restorer:
                 self.words[token] = known
         return known
 
-    def run_words(self, tokens: list[str]) -> set[str]:
+    def run_words(self, tokens: list[str], singles: list[int] | None = None) -> set[str]:
         """Words that runs of single letters spell."""
         out: set[str] = set()
-        for run in spaced_runs(tokens):
+        for run in spaced_runs(tokens, singles):
             known = self.runs.get(run)
             if known is None:
                 known = tuple({w for w in self.channel.best(run)[1] if len(w) > 2})
@@ -262,17 +265,23 @@ class Scorer:
     """Scores texts by the weights of features and an intercept."""
 
     def __init__(self, model: np.ndarray, lexicon: dict[str, float], intercept: float, memo: int = MEMO):
-        self.restorer, self.lexicon, self.intercept, self.memo_size = Restorer(model, memo), lexicon, intercept, memo
+        self.restorer, self.lexicon, self.intercept, self.memo_size = Restorer(model), lexicon, intercept, memo
         self.index: dict[str, list[str]] = {}
         for w in sorted(lexicon):
             if not w.endswith("*") and self.weight(w) >= HEAVY:
                 self.index.setdefault(skeleton(w), []).append(w)
         self.prefixes = {k[:n] for k in self.index for n in range(1, len(k))}
-        #: by token: its words that have a weight, and whether an entry could go on behind it
-        self.memo: dict[str, tuple[dict[str, float], bool] | None] = {}
+        #: by token: its words that have a weight, its skeleton if an entry could go on behind it, and whether it is one character
+        self.memo: dict[str, tuple[dict[str, float], str, bool] | None] = {}
 
     def weight(self, word: str) -> float:
-        return sum(self.lexicon[f] for f in features(word) if f in self.lexicon)
+        known = self.lexicon.get
+        out = known(word, 0.0)
+        for n in PREFIXES:
+            if len(word) <= n:
+                break
+            out += known(word[:n] + "*", 0.0)
+        return out
 
     def _weighed(self, words: Iterable[str]) -> dict[str, float]:
         return {w: x for w in words if (x := self.weight(w))}
@@ -282,37 +291,45 @@ class Scorer:
         own = max(((self.weight(w), w) for w in self.index.get(key, ()) if self.restorer.channel.reads_as(text, w)), default=None)
         return {own[1]: own[0]} if own else {}
 
-    def _look(self, token: str) -> tuple[dict[str, float], bool] | None:
-        words, bare = self._weighed(self.restorer.channel.restore(token).split()), token.strip(_EDGES)
+    def _look(self, token: str) -> tuple[dict[str, float], str, bool] | None:
+        bare = token.strip(_EDGES)
+        if bare.isalpha() and not _REPEATED.search(bare):
+            words = {bare: x} if (x := self.weight(bare)) else {}
+        else:
+            words = self._weighed(self.restorer.channel.restore(token).split())
         key = skeleton(bare)
-        for text, own in ((bare, key), (token, skeleton(token))):  # a mark at an edge may be a letter too
-            if not words and own in self.index:
-                words = self._spelled(text, own)
-        return (words, key in self.prefixes) if words or key in self.prefixes else None
+        if not words and key in self.index:
+            words = self._spelled(bare, key)
+        if not words and len(bare) < len(token) and (token[0] in LOOKALIKES or token[-1] in LOOKALIKES) and (whole := skeleton(token)) in self.index:
+            words = self._spelled(token, whole)  # a mark at an edge may be a letter too
+        out = words, key if key in self.prefixes else "", bare_length(token) == 1
+        return out if any(out) else None
 
     def words(self, text: str) -> dict[str, float]:
         """The distinct restored words of a text that have a weight."""
         if len(self.memo) > self.memo_size:
             self.memo.clear()
-        tokens = text.lower().split()
-        memo, long = self.memo, {}
+        tokens, memo, long = text.lower().split(), self.memo, []
         for t in set(tokens):
             if t not in memo:
-                (memo if len(t) <= 64 else long)[t] = self._look(t)
+                memo[t] = self._look(t)
+                if len(t) > 64:
+                    long.append(t)
+        told = [(at, found) for at, found in enumerate(map(memo.__getitem__, tokens)) if found]
+        for t in long:
+            del memo[t]
         out: dict[str, float] = {}
-        for at, t in enumerate(tokens):
-            found = memo[t] if t in memo else long[t]
-            if found is None:
-                continue
-            out |= found[0]
-            if found[1]:  # an entry may go on behind the next space
-                key, to = skeleton(t.strip(_EDGES)), at + 1
-                while to < len(tokens) and key in self.prefixes:
-                    key = _RUN.sub(r"\1", key + skeleton(tokens[to].strip(_EDGES)))
-                    to += 1
-                    if key in self.index:
-                        out |= self._spelled(" ".join(x.strip(_EDGES) or x for x in tokens[at:to]), key)
-        return out | self._weighed(self.restorer.run_words(tokens))
+        for at, (words, key, _) in told:
+            if words:
+                out |= words
+            to = at + 1
+            while key in self.prefixes and to < len(tokens):  # an entry may go on behind the next space
+                key = _RUN.sub(r"\1", key + skeleton(tokens[to].strip(_EDGES)))
+                to += 1
+                if key in self.index:
+                    out |= self._spelled(" ".join(x.strip(_EDGES) or x for x in tokens[at:to]), key)
+        singles = [at for at, found in told if found[2]]
+        return out | self._weighed(self.restorer.run_words(tokens, singles)) if len(singles) > 1 else out
 
     def __call__(self, text: str) -> float:
         own = self.words(text)
