@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.decode import batch_verdict
+from ..functions.geometry import let
 
 FIELDS = ("class_value", "score", "x1", "y1", "x2", "y2", "order_value")
 
@@ -35,9 +36,12 @@ def split_batches(batches: DataFrame, *keep: str) -> DataFrame:
     """
     columns, counts = F.col("columns"), F.col("row_counts")
     fault = batch_verdict(F.size("image_sizes"), counts, columns, F.size("values"))
-    start = lambda i: F.aggregate(F.slice(counts, 1, i), F.lit(0), lambda s, n: s + n)
-    values = lambda i, n: F.slice(F.col("values"), start(i) * columns + 1, n * columns)
-    pages = F.transform(counts, lambda n, i: F.struct(i.alias("image_index"), F.get("image_sizes", i)["width"].alias("width"), F.get("image_sizes", i)["height"].alias("height"), values(i, n).alias("values")))
+    state = lambda at, starts: F.struct(at.alias("at"), starts.alias("starts"))
+    zero = state(F.lit(0), F.array().cast("array<int>"))
+    summed = F.aggregate(counts, zero, lambda s, n: state(s["at"] + n, F.concat(s["starts"], F.array(s["at"]))), lambda s: s["starts"])
+    values = lambda at, n: F.slice(F.col("values"), at * columns + 1, n * columns)
+    page = lambda starts, n, i: F.struct(i.alias("image_index"), F.get("image_sizes", i)["width"].alias("width"), F.get("image_sizes", i)["height"].alias("height"), values(F.get(starts, i), n).alias("values"))
+    pages = let(summed, lambda starts: F.transform(counts, lambda n, i: page(starts, n, i)))
     good = batches.select(*keep, "columns", F.when(fault.isNotNull(), F.raise_error(fault).cast(_pages_type(batches))).otherwise(pages).alias("pages"))
     return good.select(*keep, "columns", F.inline("pages"))
 

@@ -137,11 +137,16 @@ ORACLES = {
     "page_source": f"WITH {_INDEXED} SELECT doc_id, page_index, 'doc-' || doc_id || '.pdf#page=' || (page_index + 1) AS source FROM indexed",
     "json_roundtrip": f"""WITH l AS ({_LAYOUT}), {_DET}, p AS (SELECT DISTINCT page_id, width, height FROM det)
   SELECT page_id, width, height, pos, label, score, x, y, w, h, ord FROM l JOIN p USING (page_id)""",
-    "im_shape": f"WITH {_DET} SELECT DISTINCT page_id, {_F(800)} AS target_h, {_F(800)} AS target_w FROM det",
-    "scale_factor": f"WITH {_DET} SELECT DISTINCT page_id, {_F(800)} / {_F('height')} AS scale_h, {_F(800)} / {_F('width')} AS scale_w FROM det",
+    "page_json": f"""WITH l AS ({_LAYOUT}), {_DET}, p AS (SELECT DISTINCT page_id, width, height FROM det),
+  b AS (SELECT page_id, string_agg('{{"label":"' || label || '","score":' || CAST(score AS VARCHAR) || ',"bbox":{{"x":' || CAST(x AS VARCHAR) || ',"y":' || CAST(y AS VARCHAR) || ',"width":' || CAST(w AS VARCHAR)
+    || ',"height":' || CAST(h AS VARCHAR) || '}},"order":' || coalesce(CAST(ord AS VARCHAR), 'null') || '}}', ',' ORDER BY pos) AS blocks FROM l GROUP BY page_id)
+  SELECT page_id, '{{"width":' || width || ',"height":' || height || ',"blocks":[' || blocks || ']}}' AS json FROM b JOIN p USING (page_id)""",
+    "im_shape": f"WITH {_DET} SELECT DISTINCT page_id, {_F(60)} AS target_h, {_F(80)} AS target_w FROM det",
+    "scale_factor": f"WITH {_DET} SELECT DISTINCT page_id, {_F(60)} / {_F('height // 100')} AS scale_h, {_F(80)} / {_F('width // 100')} AS scale_w FROM det",
     "is_pdf": f"WITH {_NAMED} SELECT page_id, name, regexp_matches(lower(name), '[^/]\\.pdf$') AS is_pdf FROM named",
     "file_kind": f"""WITH {_NAMED} SELECT page_id, name, CASE WHEN page_id % 5 = 0 OR regexp_matches(lower(name), '\\.(png|jpe?g|webp)$') THEN 'image'
   WHEN page_id % 7 = 0 OR lower(name) LIKE '%.pdf' THEN 'pdf' END AS kind FROM named""",
     "load_pages": f"SELECT url AS path, unnest(range(least(strlen(url), {MAX_PAGES}))) AS page_index, 8 AS width, 6 AS height FROM pages",
-    "detect_pages": "SELECT url AS path, 2::BIGINT AS n_blocks, 'Table,Text' AS labels FROM pages",
+    "detect_pages": """SELECT url AS path, 2::BIGINT AS n_blocks, 'Table,Text' AS labels,
+  round(0.5 + CAST(list_sum(list_transform(string_split(url, ''), lambda c: ascii(c))) % 256 AS DOUBLE) / 255 / 2, 3) AS score FROM pages""",
 }

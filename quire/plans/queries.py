@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,8 @@ from ..functions.labels import color_of, label_of, parse_label
 from ..operators import blocks as B
 from ..operators.detector import FakeDetector, detect
 from ..operators.packing import batch_slots, split_batches, unnested
-from ..options import BATCH_SIZE, NMS_IOU, TARGET_HEIGHT, TARGET_WIDTH, THRESHOLD, LoadOptions, PostprocessOptions
+from ..operators.preprocess import preprocess
+from ..options import BATCH_SIZE, NMS_IOU, THRESHOLD, LoadOptions, PostprocessOptions, PreprocessOptions
 from ..sources.detections import detections, packed
 from ..sources.documents import file_kind, is_pdf, limited, render_pdfs
 from . import layout
@@ -22,6 +25,7 @@ from . import layout
 Query = Callable[[SparkSession, str], DataFrame]
 MAX_PAGES = 3
 DEFAULTS = PostprocessOptions()
+SMALL = PreprocessOptions(80, 60)
 
 
 def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,20 +241,31 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detections(spark, sf_dir).select("page_id", "width", "height").distinct()
 
 
+def _preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the detector gets beside the pixels, of blank pages a hundredth of the size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, widths, heights = (c.to_pylist() for c in batch.columns)
+            rows = [preprocess([np.zeros((h // 100, w // 100, 3), "u1")], SMALL) for w, h in zip(widths, heights)]
+            told = np.array([[*b.im_shape[0], *b.scale_factor[0]] for b in rows], "f4").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(told[:, k]) for k in range(4))], names=["page_id", "target_h", "target_w", "scale_h", "scale_w"])
+
+    return _sizes(spark, sf_dir).mapInArrow(run, "page_id long, target_h float, target_w float, scale_h float, scale_w float")
+
+
 def im_shape(spark, sf_dir):
-    shape = F.array(F.lit(float(TARGET_HEIGHT)).cast("float"), F.lit(float(TARGET_WIDTH)).cast("float"))
-    return _sizes(spark, sf_dir).select("page_id", F.get(shape, 0).alias("target_h"), F.get(shape, 1).alias("target_w"))
+    return _preprocessed(spark, sf_dir).select("page_id", "target_h", "target_w")
 
 
 def scale_factor(spark, sf_dir):
-    part = lambda target, size: (F.lit(float(target)).cast("float") / size.cast("float")).cast("float")
-    return _sizes(spark, sf_dir).select("page_id", part(TARGET_HEIGHT, F.col("height")).alias("scale_h"), part(TARGET_WIDTH, F.col("width")).alias("scale_w"))
+    return _preprocessed(spark, sf_dir).select("page_id", "scale_h", "scale_w")
 
 
 def _raster(content: bytes, max_pages: int, dpi: float):
-    """A stand-in PDF renderer: as many small gray pages as the content has bytes, up to the limit."""
-    for k in range(min(len(content), max_pages)):
-        shade = content[k]
+    """A stand-in PDF renderer: as many small gray pages as the content has bytes, up to the limit, of a shade that the content gives."""
+    shade = sum(content) % 256
+    for _ in range(min(len(content), max_pages)):
         yield 8, 6, bytes([shade, shade, shade]) * 48
 
 
@@ -263,9 +278,10 @@ def load_pages(spark, sf_dir):
 def detect_pages(spark, sf_dir):
     """Rendered stand-in pages through tensors, a deterministic detector and the page analysis."""
     files = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.encode(F.col("url"), "UTF-8").alias("content"))
-    found = detect(render_pdfs(files, LoadOptions(1), _raster), FakeDetector)
+    found = detect(render_pdfs(files, LoadOptions(1), _raster), FakeDetector, SMALL)
     done = layout.analyze_packed(found)
-    return done.select("path", F.size("blocks").cast("bigint").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["label"]), ",").alias("labels"))
+    score = F.round(F.get(F.col("blocks"), 0)["score"].cast("double"), 3)  # of the table: it follows the pixels
+    return done.select("path", F.size("blocks").cast("bigint").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["label"]), ",").alias("labels"), score.alias("score"))
 
 
 def queries() -> dict[str, Query]:

@@ -69,15 +69,21 @@ def load_pages(spark: SparkSession, paths: str | list[str], options: LoadOptions
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise PreprocessError("no input path")
-    files = spark.read.format("binaryFile").load(paths)
-    if len(paths) == 1 and _one_file(paths[0]):
-        return render_pdfs(files, options, renderer) if paths[0].lower().endswith(".pdf") else load_images(spark, paths)
-    pdf = files.where(is_pdf(F.col("path")))
-    return load_images(spark, paths).where(~is_pdf(F.col("path"))).unionByName(render_pdfs(pdf, options, renderer))
-
-
-def _one_file(path: str) -> bool:
-    return "." in path.rsplit("/", 1)[-1] and not any(c in path for c in "*?[{")
+    one = _one_file(spark, paths)
+    pdfs = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(paths).where(is_pdf(F.col("path")))
+    if one is not None and not one.lower().endswith(".pdf"):
+        return load_images(spark, paths)
+    rendered = render_pdfs(pdfs, options, renderer)
+    return rendered if one is not None else load_images(spark, paths).where(~is_pdf(F.col("path"))).unionByName(rendered)
+
+
+def _one_file(spark: SparkSession, paths: list[str]) -> str | None:
+    """The name of the only file that the paths stand for; null for folders and several files."""
+    if len(paths) != 1:
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(paths[0])
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found[0].getPath().getName() if found is not None and len(found) == 1 and found[0].isFile() else None
 
 
 def limited(pages: DataFrame, max_pages: int, document: str = "doc_id", index: str = "page_index") -> DataFrame:

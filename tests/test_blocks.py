@@ -22,6 +22,7 @@ def layout(spark, rows, size, **options):
     return [(r.label, round(r.score, 2)) for r in out], out
 
 
+# Known pages (class, score, x1, y1, x2, y2, order), their size, options and results.
 @pytest.mark.parametrize(
     "rows, size, options, expected",
     [

@@ -65,6 +65,17 @@ def test_images_through_the_pipeline(spark, tmp_path):
         load_pages(spark, str(tmp_path / "d.pdf")).collect()
 
 
+def test_a_folder_with_a_dot_is_a_folder(spark, tmp_path):
+    folder = tmp_path / "data.v1"
+    folder.mkdir()
+    (folder / "a.png").write_bytes(encode_png(4, 2, 3, bytes(range(24))))
+    (folder / "b.PDF").write_bytes(b"%PDF")
+    renderer = lambda content, pages, dpi: ((5, 5, bytes(75)) for _ in range(pages))
+    names = lambda path: sorted((r.path.rsplit("/", 1)[1], r.page_index) for r in load_pages(spark, str(path), LoadOptions(max_pages=2), renderer).collect())
+    assert names(folder) == [("a.png", 0), ("b.PDF", 0), ("b.PDF", 1)]
+    assert names(folder / "b.PDF") == [("b.PDF", 0), ("b.PDF", 1)] and names(folder / "a.png") == [("a.png", 0)]
+
+
 def test_load_options(spark):
     with pytest.raises(PreprocessError, match="max_pages must be greater than 0"):
         load_pages(spark, "x.png", LoadOptions(max_pages=0))
