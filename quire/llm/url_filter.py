@@ -25,6 +25,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 #: (verdict, host, path)
 LISTED = (
     ("block", "com", "/en/"),
@@ -87,7 +89,7 @@ def listed_rule(host: Column, path: Column, rules: tuple = LISTED) -> tuple[Colu
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
     """From ``(tokens, bad BOOLEAN)``: items ``(token, item)`` and rules ``(rule ARRAY<item>, confidence)``, over all labelled urls."""
-    sets = labelled.where((F.size("tokens") > 0) | F.col("bad")).groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    sets = checkpointed(labelled.where((F.size("tokens") > 0) | F.col("bad")).groupBy("tokens").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad")))
     total = sets.agg(F.sum("n")).first()[0] or 0
     least = max(1, math.ceil(min_support * total))
     one = sets.select(F.explode("tokens").alias("token"), "tokens", "n", "n_bad")
