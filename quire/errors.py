@@ -18,3 +18,10 @@ class PostprocessError(LayoutError):
 
 class BackendError(LayoutError):
     prefix = "layout backend failed"
+
+
+class DecodeError(ValueError):
+    """Image bytes that cannot be read; its message has no phase."""
+
+    def __init__(self, reason: str):
+        super().__init__(f"failed to decode image bytes: {reason}")

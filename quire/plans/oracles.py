@@ -90,6 +90,8 @@ def _bad(v: str) -> str:
 
 
 _TAG = "greatest(18, CAST(floor(width / 45 + 0.5) AS BIGINT))"
+_SHADE = "list_sum(list_transform(string_split(url, ''), lambda c: ascii(c))) % 256"
+_SHADE_SCORE = f"round(0.5 + CAST({_SHADE} AS DOUBLE) / 255 / 2, 3)"
 
 ORACLES = {
     "page_layout": _LAYOUT,
@@ -147,6 +149,9 @@ ORACLES = {
     "file_kind": f"""WITH {_NAMED} SELECT page_id, name, CASE WHEN page_id % 5 = 0 OR regexp_matches(lower(name), '\\.(png|jpe?g|webp)$') THEN 'image'
   WHEN page_id % 7 = 0 OR lower(name) LIKE '%.pdf' THEN 'pdf' END AS kind FROM named""",
     "load_pages": f"SELECT url AS path, unnest(range(least(strlen(url), {MAX_PAGES}))) AS page_index, 8 AS width, 6 AS height FROM pages",
-    "detect_pages": """SELECT url AS path, 2::BIGINT AS n_blocks, 'Table,Text' AS labels,
-  round(0.5 + CAST(list_sum(list_transform(string_split(url, ''), lambda c: ascii(c))) % 256 AS DOUBLE) / 255 / 2, 3) AS score FROM pages""",
+    "detect_pages": f"SELECT url AS path, 2::BIGINT AS n_blocks, 'Table,Text' AS labels, {_SHADE_SCORE} AS score FROM pages",
+    "png_pages": f"SELECT url AS path, 8 AS width, 6 AS height, CAST({_SHADE} AS BIGINT) AS shade FROM pages",
+    "image_form": "SELECT 0 AS page_index, CAST(page_id % 5 + 1 AS INT) AS width, 2 AS height, regexp_extract(url, '[^/]*$') AS source FROM pages",
+    "image_json": f"SELECT url AS path, CAST(page_id % 5 + 1 AS INT) AS width, 2 AS height, 2::BIGINT AS n_blocks, {_SHADE_SCORE} AS score FROM pages",
+    "image_json_batch": "SELECT page_id // 4 AS batch_id, string_agg(CAST(page_id % 5 + 1 AS VARCHAR), ',' ORDER BY page_id) AS widths FROM pages GROUP BY 1",
 }

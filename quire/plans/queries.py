@@ -19,8 +19,10 @@ from ..operators.packing import batch_slots, split_batches, unnested
 from ..operators.preprocess import preprocess
 from ..options import BATCH_SIZE, NMS_IOU, THRESHOLD, LoadOptions, PostprocessOptions, PreprocessOptions
 from ..sources.detections import detections, packed
-from ..sources.documents import file_kind, is_pdf, limited, render_pdfs
+from ..sources.documents import decode_images, file_kind, form_pages, is_pdf, limited, render_pdfs, render_png_pages
+from ..sources.png import encode_png
 from . import layout
+from .bytes_api import analyze_image_bytes, analyze_image_bytes_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
 MAX_PAGES = 3
@@ -284,12 +286,53 @@ def detect_pages(spark, sf_dir):
     return done.select("path", F.size("blocks").cast("bigint").alias("n_blocks"), F.array_join(F.transform("blocks", lambda b: b["label"]), ",").alias("labels"), score.alias("score"))
 
 
+def _pngs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray PNG files as wide as the id says, of a shade that the url gives."""
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("path"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, paths = (c.to_pylist() for c in batch.columns)
+            made = [encode_png(i % 5 + 1, 2, 1, bytes([sum(p.encode()) % 256]) * (i % 5 + 1) * 2) for i, p in zip(ids, paths)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["page_id", "path", "content"])
+
+    return files.mapInArrow(run, "page_id long, path string, content binary")
+
+
+def png_pages(spark, sf_dir):
+    """PDF pages as PNG files, and what the files hold when they are read again."""
+    files = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("url").alias("path"), F.encode(F.col("url"), "UTF-8").alias("content"))
+    pages = render_png_pages(files, _raster, 1)
+    read = decode_images(pages.select("path", F.col("png_data").alias("content")))
+    shade = F.conv(F.hex(F.substring(F.col("image.data"), 1, 1)), 16, 10).cast("bigint")
+    return read.select("path", F.col("image.width").alias("width"), F.col("image.height").alias("height"), shade.alias("shade"))
+
+
+def image_form(spark, sf_dir):
+    return form_pages(_pngs(spark, sf_dir))
+
+
+def image_json(spark, sf_dir):
+    done = analyze_image_bytes(_pngs(spark, sf_dir), FakeDetector, preprocessing=SMALL)
+    read = done.select("path", F.from_json("json", layout.PAGE_JSON).alias("p"))
+    score = F.round(F.col("p.blocks")[0]["score"].cast("double"), 3)
+    return read.select("path", "p.width", "p.height", F.size("p.blocks").cast("bigint").alias("n_blocks"), score.alias("score"))
+
+
+def image_json_batch(spark, sf_dir):
+    batches = _pngs(spark, sf_dir).groupBy(F.expr("page_id div 4").alias("batch_id")).agg(F.sort_array(F.collect_list(F.struct("page_id", "content"))).alias("s"))
+    done = analyze_image_bytes_batch(batches.select("batch_id", F.col("s.content").alias("images")), FakeDetector, preprocessing=SMALL)
+    read = done.select("batch_id", F.from_json("json", f"ARRAY<{layout.PAGE_JSON}>").alias("p"))
+    return read.select("batch_id", F.array_join(F.col("p.width").cast("array<string>"), ",").alias("widths"))
+
+
 def queries() -> dict[str, Query]:
     own = (
         page_layout, score_filter, label_decode, label_color, label_parse, order_decode, box_clamp, overlap_metrics, iou_pairs,
         overlap_pairs, relabel_reference, nms_same_label, nms_cross_label, suppress, reading_order, unnest_rows, batch_split,
         batch_assign, page_limit, validate_rows, row_counts_valid, run_totals, order_rank, display_label, draw_plan, progress,
         elapsed, page_caption, page_source, page_json, json_roundtrip, im_shape, scale_factor, load_pages, detect_pages,
+        png_pages, image_form, image_json, image_json_batch,
     )
     return {f.__name__: f for f in own} | {"is_pdf": pdf_test, "file_kind": kind_of_file}
 
