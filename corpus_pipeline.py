@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles: the one of the smallest id.
+    """One document of each group of texts that share 0.8 of their five-word shingles, by SimHash and an exact check: the one of the smallest id.
 
     Null, empty and wordless texts are one group; null ids rank last, rows of one id by text and then by all other columns.
     """

@@ -61,15 +61,17 @@ def forest(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def gridded(rows: DataFrame, keys: list[str], spread: Column, block: int = BLOCK, member: str | None = None) -> DataFrame:
+def gridded(rows: DataFrame, keys: list[str], spread: Column, block: int = BLOCK, member: str | None = None, piece: str | None = None) -> DataFrame:
     """Rows of a self-join, each in the cells ``(i, j)``, i <= j, that its block ``b`` takes part in.
 
     Only groups of two rows or more stay; a group within one block has the cell
     (0, 0). With ``member``, a column that no group holds twice, groups of the same
-    members are compared once: the one of the smallest key stands for all.
+    members are compared once: the one of the smallest key stands for all. With
+    ``piece``, groups whose rows are all of one piece are left out.
     """
     same = [F.bit_xor(F.xxhash64(F.lit(k), member)).alias(f"__x{k}") for k in (0, 1)] if member else []
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *same).where("__n > 1")
+    ends = [F.min(piece).alias("__p0"), F.max(piece).alias("__p1")] if piece else []
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"), *same, *ends).where("__n > 1").where("__p0 < __p1" if piece else "true").drop("__p0", "__p1")
     if member:
         sizes = sizes.groupBy("__n", "__x0", "__x1").agg(F.min(F.struct(*keys)).alias("__k")).select("__k.*", "__n")
     placed = rows.join(sizes, keys).withColumn("__s", block_count(F.col("__n"), block)).withColumn("__b", F.pmod(spread, F.col("__s")).cast("int"))

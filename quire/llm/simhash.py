@@ -38,6 +38,19 @@ FP_BLOCK = 8192
 _BITS = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little").astype("i8")
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of their 8 x 8 bits set."""
+    h = hashes.view("u1").reshape(-1, 8)
+    if len(h) < 200:
+        return np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype="i8").reshape(8, 8)
+    return np.stack([np.bincount(h[:, k], minlength=256) @ _BITS for k in range(8)])
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The bits that more than half of ``n`` hashes have set."""
+    return int.from_bytes(np.packbits(counts.reshape(64) * 2 > n, bitorder="little").tobytes(), "little")
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """The fingerprint of a text; without words it is zero."""
     words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and \x20\x09-\x0D only
@@ -50,13 +63,8 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
             shingles = map(b" ".join, zip(*(own[k:] for k in range(shingle))))
         else:
             shingles = iter([b" ".join(own)])
-        h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), "<u8").view("u1").reshape(-1, 8)
-        if len(h) < 200:
-            counts += np.unpackbits(h, axis=1, bitorder="little").sum(axis=0, dtype="i8").reshape(8, 8)
-        else:
-            for k in range(8):
-                counts[k] += np.bincount(h[:, k], minlength=256) @ _BITS
-    return int.from_bytes(np.packbits(counts.reshape(64) * 2 > n, bitorder="little").tobytes(), "little")
+        counts += bit_counts(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), "<u8"))
+    return majority(counts, n)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, text_column: str = "text", keep: list[str] | None = None) -> DataFrame:

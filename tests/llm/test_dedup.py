@@ -10,6 +10,7 @@ from cases import awkward, clashing, listed
 from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES
+from quire.llm.blocks import gridded
 from quire.llm.components import connected_components
 from quire.llm.embedding import near_duplicate_vectors
 from quire.llm.jaccard import drop_similar
@@ -140,6 +141,58 @@ def test_near_dedup_stage_finds_edited_copies(spark, block):
     assert drop_similar(frame.limit(0)).count() == 0
 
 
+def slow_set_fingerprint(key):
+    h = [xxhash.xxh64_intdigest(" ".join(words), 42) for words in key]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("radius, segments", [(10, 11), (4, 9)])
+def test_near_dedup_stage_goes_by_fingerprints(spark, radius, segments):
+    """Without the keys of minima, sets that pigeonring search joins and whose similarity suffices."""
+    frame = awkward(spark, edited_texts())
+    sets = {}
+    for r in frame.collect():
+        words = (r.text or "").lower().split()
+        key = frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4)))
+        sets[key] = min(sets.get(key, 10**9), 10**9 if r.doc_id is None else r.doc_id)
+    nodes = list(sets)
+    fps = [slow_set_fingerprint(key) for key in nodes]
+    pairs = [(i, j) for i in range(len(nodes)) for j in range(i)]
+    group = union_find(range(len(nodes)), [(i, j) for i, j in pairs if (fps[i] ^ fps[j]).bit_count() <= radius])
+    similar = [(i, j) for i, j in pairs if 5 * len(nodes[i] & nodes[j]) >= 4 * len(nodes[i] | nodes[j])]
+    of = union_find(range(len(nodes)), [(i, j) for i, j in similar if group[i] == group[j]])
+    least = {}
+    for k, root in of.items():
+        least[root] = min(least.get(root, 10**9), sets[nodes[k]])
+    assert len(least) < len(nodes) - 10
+    kept = drop_similar(frame, radius=radius, segments=segments, bands=0)
+    assert sorted(10**9 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(least.values())
+
+
+def test_near_dedup_stage_searches_fingerprints_first(spark, monkeypatch):
+    """The stage runs pigeonring search; groups of a key that it has joined are not compared again."""
+    from quire.llm import jaccard
+
+    searched, compared, links = [], [], jaccard.similar_links
+    monkeypatch.setattr(jaccard, "hamming_links", lambda nodes, radius, segments: searched.append((nodes.count(), radius, segments)) or hamming_links(nodes, radius, segments))
+
+    def spied(docs, nodes, groups, *more):
+        compared.append(groups)
+        return links(docs, nodes, groups, *more)
+
+    monkeypatch.setattr(jaccard, "similar_links", spied)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join(base[: 300 - k])) for k in range(4)]  # differ in a few shingles of 296
+    kept = dict(STAGES)["near-dedup"](spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert searched == [(len({slow_set_fingerprint({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}) for _, t in rows}), 10, 11)]
+    first, rest = compared
+    assert first.select("key").distinct().count() == 1 and first.count() == 4
+    assert rest.count() == 80 and rest.select("piece").distinct().count() == 1
+    cells = gridded(rest, ["key"], F.xxhash64("node"), 1024, "node", "piece")
+    assert cells.count() == 0 and gridded(rest, ["key"], F.xxhash64("node"), 1024, "node").count() > 0
+
+
 def slow_repeats(rows, min_words):
     seen, out = set(), {}
     for i, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
